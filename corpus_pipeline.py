@@ -20,31 +20,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity operator scores 0.5 or more."""
-    rejected = toxicity.score(docs, toxicity.trained(spark, sf_dir, docs)).filter("score >= 0.5").select(F.col("id").alias("doc_id"))
-    return docs.select(COLUMNS).join(rejected.distinct(), "doc_id", "left_anti")
+    found = toxicity.score(docs, toxicity.trained(spark, sf_dir, docs), carry=COLUMNS)
+    return found.filter("score < 0.5").select("carry.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates only the document of least id; documents without an id stay, too."""
     others = simhash.near_duplicates(docs).filter("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.select(COLUMNS).join(others.distinct(), "doc_id", "left_anti")
+    return docs.select(COLUMNS).join(others.distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 100-byte strings, halves of characters dropped, too; documents with nothing left go."""
-    found = suffix_dedup.dedup(docs).filter("size(spans) > 0")
-    # a character's first byte or one of its later bytes may be gone: what is no character any more goes as well
-    text = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")
-    cut = found.select(F.col("id").alias("doc_id"), text.alias("left_over")).dropDuplicates(["doc_id"])
-    joined = docs.select(COLUMNS).join(cut, "doc_id", "left").filter("left_over is null or left_over <> ''")
-    text = F.coalesce("left_over", "text")
-    return joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    found = suffix_dedup.dedup(docs, as_text=True, carry=COLUMNS)
+    touched = F.size("spans") > 0
+    text = F.when(touched, F.col("kept")).otherwise(F.col("carry.text"))
+    n_chars = F.when(touched, F.char_length("kept").cast("long")).otherwise(F.col("carry.n_chars"))
+    return found.filter(~touched | (F.col("kept") != "")).select("carry.doc_id", text.alias("text"), "carry.lang", "carry.source", n_chars.alias("n_chars"))
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of the benchmark."""
-    hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("size(spans) > 0")
-    return docs.select(COLUMNS).join(hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
+    return found.filter("size(spans) = 0").select("carry.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

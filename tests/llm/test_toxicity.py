@@ -58,3 +58,13 @@ def test_held_out_accuracy_and_edges(spark):
 def test_terms_of_long_and_odd_texts():
     doc, h = T.features(pa.array([None, "", "--", "Abcdefgh ABCDEFGH", "x " * 50_000]))
     assert np.bincount(doc, minlength=5).tolist() == [0, 0, 0, 8, 50_000] and len(set(h[doc == 3])) == 4
+
+
+def test_held_out_on_generated_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in T.query(spark, sf).collect() if r.doc_id in labels]
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.9
+    clean = [r for r in rows if not labels[r.doc_id]]
+    assert sum(r.predicted for r in clean) / len(clean) < 0.02

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +55,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
 
 
+def pick_carry(df: DataFrame, carry: Sequence[str], **columns: str) -> DataFrame:
+    """pick(), and with names in ``carry`` a struct column of that name which holds them."""
+    if not carry:
+        return pick(df, **columns)
+    got = pick(df, **columns, **{f"carry_{c}": c for c in carry})
+    return got.select(*columns, F.struct(*[F.col(f"carry_{c}").alias(c) for c in carry]).alias("carry"))
+
+
+def carried(df: DataFrame, schema: str) -> T.StructType:
+    """The schema of a mapInArrow whose rows keep the input's carry column, if it has one."""
+    out = T.StructType.fromDDL(schema)
+    return out.add(df.schema["carry"]) if "carry" in df.columns else out
+
+
+def carry_columns(piece: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
+    return ([piece.column("carry")], ["carry"]) if "carry" in piece.schema.names else ([], [])
+
+
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Deal rows out by a key with the session's number of shuffle partitions; AQE may merge small ones, never split a key."""
     return df.repartition(*keys)

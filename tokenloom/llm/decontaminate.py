@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SpanHash, pieces, runs, utf8
-from ._spark import pick
+from ._spark import carried, carry_columns, pick, pick_carry
 
 #: Bytes of words: digits, lower-case letters and all that isn't ASCII.
 WORD = np.ones(256, bool)
@@ -196,14 +196,16 @@ def _scan(phrases: Phrases, shard_bytes: int):
                 [pa.array(x) for x in (a - doc_first, b - doc_first, start[a] - base, end[b - 1] - base)],
                 ["word_start", "word_end", "byte_start", "byte_end"],
             )
+            more, names_more = carry_columns(piece)
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("id"),
                     pa.array(np.diff(first)),
                     pa.ListArray.from_arrays(pa.array(span_first.astype(np.int32)), spans),
                     pa.ListArray.from_arrays(pa.array(item_off.astype(np.int32)), names.take(pa.array(pair % (len(phrases.items) + 1)))),
+                    *more,
                 ],
-                ["id", "n_words", "spans", "items"],
+                ["id", "n_words", "spans", "items", *names_more],
             )
 
     return run
@@ -216,8 +218,9 @@ SCHEMA = f"id long, n_words long, spans {SPANS}, items array<string>"
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = BLOCK_BYTES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, n_words, spans, items): merged spans of words, and bytes, inside any occurrence of a window of the benchmark.
+    """(id, n_words, spans, items, carry if asked for): merged spans of words, and bytes, inside any occurrence of a window of the benchmark.
 
     No shuffle: each task indexes its shards of whole documents and searches them for the windows it was sent. These are
     sent in blocks of at most ``block_bytes`` of benchmark text (one item at least); with more than one block the spans
@@ -225,7 +228,7 @@ def contamination(
     are named by their ids as text (null: empty), and items that share an id are one. Repeated rows give repeated rows
     while the benchmark is one block; beyond that, rows that share an id are merged. Empty tables are fine on either side.
     """
-    docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    docs = pick_carry(docs, carry, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text")
     items = items.filter("text is not null").withColumn("size", F.octet_length("text").cast("long"))
     total = items.agg(F.sum("size")).first()[0] or 0
@@ -234,7 +237,7 @@ def contamination(
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         rows = [(r.item, r.text) for r in block.select("item", "text").toLocalIterator()]
-        found.append(docs.mapInArrow(_scan(Phrases(rows, window), shard_bytes), SCHEMA))
+        found.append(docs.mapInArrow(_scan(Phrases(rows, window), shard_bytes), carried(docs, SCHEMA)))
     if n == 1:
         return found[0]
     union = found[0]
@@ -242,6 +245,7 @@ def contamination(
         union = union.union(f)
     merged = union.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
+        *([F.first("carry").alias("carry")] if carry else []),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )

@@ -9,7 +9,7 @@ neighbours in both orders tell which strings are equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import SpanHash, mix, pieces, table, utf8
-from ._spark import materialize, pick, spread
+from ._spark import carried, carry_columns, materialize, pick_carry, spread
 from .deepshallow import deep_shallow
 
 GRAM = 24
@@ -268,43 +268,54 @@ def repeated_spans(docs: DataFrame, width: int = 100, piece_bytes: int = 2 << 20
     return spans.union(more)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text"):
-        buf, off = utf8(piece.column("text"))
-        spans = piece.column("spans")
-        count = np.diff(spans.offsets.to_numpy())
-        flat = spans.flatten()
-        text = np.repeat(np.arange(piece.num_rows), count)
-        size = np.diff(off)
-        a, b = (np.minimum(flat.field(i).to_numpy(), size[text]) for i in (0, 1))
-        text, a, b = _merged(text, a, b)
-        real = b > a
-        text, a, b = text[real], a[real], b[real]
-        gone = np.zeros(len(buf) + 1, np.int64)
-        np.add.at(gone, a + off[text], 1)
-        np.add.at(gone, b + off[text], -1)
-        keep = np.cumsum(gone[:-1]) == 0
-        kept = np.concatenate([[0], np.cumsum(keep)])[off]
-        data = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(buf[keep])])
-        first = np.searchsorted(text, np.arange(piece.num_rows + 1))
-        merged = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["lo", "hi"]))
-        yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(size), merged, data], ["id", "n_bytes", "spans", "kept"])
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
-    """(id, n_bytes, spans array<struct<lo, hi>>, kept binary): what is left of each whole text once repeats are cut out.
+def _apply(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            yield _cut(piece, as_text)
+
+    return run
+
+
+def _cut(piece: pa.RecordBatch, as_text: bool) -> pa.RecordBatch:
+    buf, off = utf8(piece.column("text"))
+    spans = piece.column("spans")
+    count = np.diff(spans.offsets.to_numpy())
+    flat = spans.flatten()
+    text = np.repeat(np.arange(piece.num_rows), count)
+    size = np.diff(off)
+    a, b = (np.minimum(flat.field(i).to_numpy(), size[text]) for i in (0, 1))
+    text, a, b = _merged(text, a, b)
+    real = b > a
+    text, a, b = text[real], a[real], b[real]
+    gone = np.zeros(len(buf) + 1, np.int64)
+    np.add.at(gone, a + off[text], 1)
+    np.add.at(gone, b + off[text], -1)
+    keep = np.cumsum(gone[:-1]) == 0
+    kept = np.concatenate([[0], np.cumsum(keep)])[off]
+    data = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(buf[keep])])
+    first = np.searchsorted(text, np.arange(piece.num_rows + 1))
+    merged = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["lo", "hi"]))
+    if as_text:
+        data = pa.array([b.decode(errors="ignore") for b in data.to_pylist()], pa.string())
+    more, names = carry_columns(piece)
+    return pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(size), merged, data, *more], ["id", "n_bytes", "spans", "kept", *names])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_bytes, spans array<struct<lo, hi>>, kept binary, carry if asked for): what is left of each whole text once repeats are cut out.
 
     A byte goes if a string of ``width`` bytes around it also starts earlier: in a row of a smaller id, or earlier in the
     same row; strings are judged on the input. Null texts are empty; shorter texts stay whole. Ids are 64-bit and null
     ones count as the smallest; rows that share an id rank equal, and what goes from one goes, by place, from all of them.
-    ``kept`` may begin or end inside a character of several bytes.
+    ``kept`` may begin or end inside a character of several bytes; ``as_text`` makes it a string without such parts.
     """
     rank = F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))
-    docs = pick(docs, id=id_col, text=text_col).select(rank.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(docs, width).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    docs = pick_carry(docs, carry, id=id_col, text=text_col).withColumns({"doc": rank, "text": F.coalesce("text", F.lit(""))}).drop("id")
+    spans = repeated_spans(docs.select("doc", "text"), width).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = docs.join(spans, "doc", "left").withColumn("spans", F.coalesce("spans", empty))
-    out = joined.mapInArrow(_apply, "id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    kind = "string" if as_text else "binary"
+    out = joined.mapInArrow(_apply(as_text), carried(docs, f"id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept {kind}"))
     return out.withColumn("id", F.when(F.col("id") != -(2**63), F.col("id")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SpanHash, pieces, runs, utf8
-from ._spark import materialize, pick
+from ._spark import carried, carry_columns, materialize, pick, pick_carry
 from .decontaminate import WORD
 
 PREFIXES = (4, 5, 6)
@@ -168,14 +168,15 @@ def _vectors(vocabulary: Vocabulary):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 3000, max_terms: int = 4096, least_z: float = 5.0, k: int = 15,
+    max_examples: int = 3000, max_terms: int = 4096, least_z: float = 4.0, k: int = 15,
 ) -> Model:
     """Learn from labelled documents.
 
     The examples are a bounded sample: of each label the ``max_examples`` rows of least hash of id (all, if fewer). Terms
     are those whose shares among the two labels differ by ``least_z`` standard errors, ``max_terms`` at most. Their
     inverse document frequencies come from all of ``docs``. Null labels don't count, other numbers than 0 count as 1, of
-    repeated labels the largest counts; labels without a document are left out. With one label or none scores are priors.
+    repeated labels the largest counts; labels without a document are left out, and
+    examples with equal texts are one. With one label or none scores are priors.
     """
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     labels = pick(labels, id=id_col, label=label_col).filter("id is not null and label is not null")
@@ -184,7 +185,8 @@ def fit(
     order = F.xxhash64("id", F.lit(17))
     chosen = labels.filter("label = 0").orderBy(order, "id").limit(max_examples).union(labels.filter("label = 1").orderBy(order, "id").limit(max_examples))
     # at most 2 * max_examples ids
-    sample, _ = materialize(docs.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")), "examples")
+    sample = docs.join(F.broadcast(chosen), "id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min(F.struct("id", "label")).alias("of"))
+    sample, _ = materialize(sample.select("of.id", "of.label", "text"), "examples")
     have = dict(sample.groupBy("label").count().collect())
     n1, n0 = have.get(1, 0), have.get(0, 0)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
@@ -213,8 +215,8 @@ def fit(
     return Model(vocabulary, index, ids, label, share, float(prior), k)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, evidence): 0 to 1, and the labelled examples that voted. Needs no shuffle; the model is bounded by its sample.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, score, evidence, carry if asked for): 0 to 1, and the labelled examples that voted. Needs no shuffle; the model is bounded by its sample.
 
     Texts with none of the model's terms, null and empty ones too, get the share of such texts that are labelled 1.
     """
@@ -224,10 +226,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores, ids, sims = model.score(piece.column("text"))
             off = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
             flat = pa.StructArray.from_arrays([pa.array([i for x in ids for i in x], pa.int64()), pa.array([s for x in sims for s in x], pa.float64())], ["id", "cosine"])
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(scores), pa.ListArray.from_arrays(off, flat)], ["id", "score", "evidence"])
+            more, names = carry_columns(piece)
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(scores), pa.ListArray.from_arrays(off, flat), *more], ["id", "score", "evidence", *names])
 
-    docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return docs.mapInArrow(run, "id long, score double, evidence array<struct<id:bigint,cosine:double>>")
+    docs = pick_carry(docs, carry, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    return docs.mapInArrow(run, carried(docs, "id long, score double, evidence array<struct<id:bigint,cosine:double>>"))
 
 
 def fold(id_col):
