@@ -472,13 +472,13 @@ rep AS (
     moved_lists = {"tokens": "moved_text", "whitespaces": "moved_ws", "pos_tags": "pos", "lemmas": "lemma", "dep_tags": "dep", "dep_heads": "CAST(head AS VARCHAR)"}
     grouped = CLEAN + GROUPS + rf""",
 bodies AS (
-  SELECT s.number, s.split, s.rank, c.language, {_trim('c.sentence', STRIP)} AS stripped, coalesce(l.body, '') AS body, l.body IS NOT NULL AS some
+  SELECT s.number, s.split, s.rank, c.language, {_trim('c.sentence', STRIP)} AS stripped, coalesce(l.body, '') AS body, l.body IS NOT NULL AS has_lines
   FROM splits s JOIN sent c USING (sent_id) LEFT JOIN lines l USING (sent_id)
 ),
-placed AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY rank) AS at FROM bodies),
+placed AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY rank) AS place FROM bodies),
 grp AS (
   SELECT number, any_value(split) AS split, count(*) AS n_sentences, arg_min(language, rank) AS language, string_agg(stripped, ' ' ORDER BY rank) AS sentence,
-         string_agg(CASE WHEN at > 1 AND some THEN '1' || chr(9) || ' ' || substr(body, 3) ELSE body END, chr(10) || '-----' || chr(10) ORDER BY rank) AS body
+         string_agg(CASE WHEN place > 1 AND has_lines THEN '1' || chr(9) || ' ' || substr(body, 3) ELSE body END, chr(10) || '-----' || chr(10) ORDER BY rank) AS body
   FROM placed GROUP BY number
 )"""
     tok_md5 = "coalesce(string_agg(text || whitespace, '' ORDER BY idx), '')"
