@@ -84,7 +84,9 @@ class MultiIndex:
         self.codes = codes
         parts = codes.view(np.uint16)
         self.order = [np.argsort(parts[:, j], kind="stable") for j in range(parts.shape[1])]
-        self.start = [np.searchsorted(parts[o, j], np.arange((1 << PART) + 1)) for j, o in enumerate(self.order)]
+        keys = [np.unique(parts[:, j], return_counts=True) for j in range(parts.shape[1])]
+        self.keys, self.count = [k[0].astype(np.int64) for k in keys], [k[1] for k in keys]
+        self.start = [np.r_[0, np.cumsum(c)] for c in self.count]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row within the radius. By the pigeonhole principle, radii of the parts that sum to radius - parts + 1 will do."""
@@ -99,10 +101,14 @@ class MultiIndex:
             if r >= PART:
                 seen[:] = True
                 break
+            keys = self.keys[j]
+            if len(masks(r)) > len(keys):  # fewer substrings occur than there are within the radius: look at those
+                seen[self.order[j][np.repeat(np.bitwise_count(keys ^ int(parts[j])) <= r, self.count[j])]] = True
+                continue
             probe = masks(r) ^ int(parts[j])
-            lo, hi = self.start[j][probe], self.start[j][probe + 1]
-            full = hi > lo
-            lo, size = lo[full], hi[full] - lo[full]
+            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            at = at[keys[at] == probe]
+            lo, size = self.start[j][at], self.count[j][at]
             seen[self.order[j][np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size)]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
@@ -183,7 +189,7 @@ def nearest_neighbours(
     shards = max(-(-n // shard_rows), min(width, -(-n // 4000)))
     asks = rows.filter(is_query(F.col("id"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
-    both = dealt.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+    both = dealt.unionByName(asks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks", "id")
     found = both.mapInArrow(_search(codes, d, k), "query long, near array<struct<less:double,id:bigint>>")
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     flat = best.select("query", F.posexplode("near").alias("at", "n"))
