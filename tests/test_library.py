@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from tokenloom.functions.text import normal
 from tokenloom.operators import dependency, sequence, trees
 from tokenloom.operators.codec import decode, encode, fits_grammar, reconstruct
 from tokenloom.operators.dependency import Tree
 from tokenloom.operators.repair import align, repair
-from tokenloom.schema import DEP, PATTERN, POS, TOKENS, WHITESPACE
+from tokenloom.schema import DEP, PATTERN, POS, TOKENS, TREE_PATTERN, WHITESPACE
 from pyspark.sql import functions as F
 
 
@@ -106,6 +108,66 @@ def test_trees_and_cycles(spark):
     assert [(r.node, r.matched_label) for r in found if r.sent_id == 1] == [(2, "a"), (2, "b"), (2, "e"), (1, "d")]
 
 
+def brute_trees(heads, deps, lemmas):
+    first = next((i for i, (h, d) in enumerate(zip(heads, deps), 1) if d == "root" or h == i), None)
+    if first is None:
+        return None
+
+    def build(i, path):
+        cut = i in path[:-1]
+        return (lemmas[i - 1], path, [] if cut else [(deps[c - 1], build(c, (*path, c))) for c, h in enumerate(heads, 1) if h == i and c != i])
+
+    return build(first, (first,))
+
+
+def brute_match(node, pattern):
+    return node[0] == pattern.lemma and all(any(d == dep and brute_match(c, child) for d, c in node[2]) for dep, child in dict(pattern.children).items())
+
+
+def test_tree_patterns_against_brute_force(spark):
+    rng = random.Random(5)
+    leaf = lambda depth: Tree(rng.choice("ab"), tuple((rng.choice("xyz"), leaf(depth - 1)) for _ in range(rng.randint(0, 2) if depth else 0)))
+    patterns = [(f"p{i}", leaf(3)) for i in range(30)]
+    rows, want = [], set()
+    for s in range(120):
+        n = rng.randint(1, 9)
+        heads, deps, lemmas = [rng.randint(-1, n) for _ in range(n)], [rng.choice(["x", "y", "z", "root"]) for _ in range(n)], [rng.choice("ab") for _ in range(n)]
+        rows.append((s, "", [tok("t", lemma=w, dep=d, head=h) for h, d, w in zip(heads, deps, lemmas)]))
+        stack = [brute_trees(heads, deps, lemmas)]
+        while stack:
+            if (node := stack.pop()) is not None:
+                want |= {(s, node[1], i, label) for i, (label, p) in enumerate(patterns) if brute_match(node, p)}
+                stack += [c for _, c in node[2]]
+    nodes = trees.build(sents(spark, rows))
+    got = dependency.find_all(nodes, dependency.pattern_table(spark, patterns)).collect()
+    assert len(got) == len(want) and {(r.sent_id, tuple(r.path), r.pattern_index, r.matched_label) for r in got} == want
+    assert any(p.children and label in {w[3] for w in want} for label, p in patterns)
+    none = dependency.find_all(nodes, spark.createDataFrame([], TREE_PATTERN))
+    assert none.count() == 0
+
+
+def test_a_sentence_as_pattern(spark):
+    # two children by the same relation: the last counts
+    one = [tok("love", dep="root"), tok("I", dep="nsubj", head=1), tok("we", dep="nsubj", head=1), tok("you", dep="obj", head=1)]
+    two = [tok("love", dep="root"), tok("we", dep="nsubj", head=1), tok("you", dep="obj", head=1), tok("too", dep="advmod", head=1)]
+    three = [tok("love", dep="root"), tok("I", dep="nsubj", head=1), tok("you", dep="obj", head=1)]
+    nodes = trees.build(sents(spark, [(1, "", one), (2, "", two), (3, "", three)]))
+    patterns = trees.as_patterns(nodes.filter("sent_id = 1"), "like_one")
+    assert {(r.sent_id, r.matched_label) for r in dependency.find_all(nodes, patterns).collect()} == {(1, "like_one"), (2, "like_one")}
+
+
+def test_grammar(spark):
+    good = "1\tI\t_\tPRON\tI\tnsubj\t2\n2\tam\tnone\tAUX\tam\troot\t0"
+    cases = [
+        (f"Here's the token analysis:\n\n{good}\n\n</analysis>", "I am", True), (f"{good}\n-----\n{good}\n\n</analysis>", "I am", True), (good, "I am", False),
+        (f"{good}\n\n</analysis>", "I a", False), (f"{good}\n\n</analysis>", "", False), (f"{good}\n\n\n</analysis>", "I am", False), ("\n\n</analysis>", "I am", False),
+        (good.replace("root", "ROOT") + "\n\n</analysis>", "I am", False), (good.replace("\tI\t_", "\t[^]\\\t_") + "\n\n</analysis>", "I am [^]\\", True), (None, "I am", False),
+    ]
+    df = spark.createDataFrame([(i, r, s) for i, (r, s, _) in enumerate(cases)], "i int, response string, sentence string")
+    got = {r.i: r.fits for r in df.select("i", fits_grammar(F.col("response"), F.col("sentence")).alias("fits")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(cases)}
+
+
 def test_oracles_name_queries():
     import __spark_entry__
 

@@ -1,15 +1,18 @@
 """Tree patterns: a node matches if lemmas agree and each child of the pattern has a matching direct child under its relation.
 
-All patterns go at once, from their deepest nodes up. Each level is one join on lemma (patterns are broadcast if Spark's
-statistics allow it) and one on the parent's path, with children counted before they move.
+All patterns go at once. Nodes join patterns on lemma (broadcast if Spark's statistics allow it), once; candidates move to
+their sentence's partition, once. Each level of the patterns, from the deepest up, is then an aggregation in place. No table
+is read twice, so trees are built once however deep the patterns are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import TREE_PATTERN
 
@@ -43,35 +46,56 @@ def pattern_table(spark: SparkSession, patterns: list[tuple[str, Tree]]) -> Data
     return spark.createDataFrame(pattern_rows(patterns), TREE_PATTERN)
 
 
+RANKED = "pattern_index int, label string, pnode int, pparent int, pdep string, lemma string, kids int, height int, pheight int"
+
+
+def _rank(pattern: pd.DataFrame) -> pd.DataFrame:
+    """One pattern's nodes with the number of their children, their height and their parent's (a leaf's height is 0).
+
+    Of children with the same relation the last counts; what hangs from the others goes.
+    """
+    rows = sorted(pattern[["pattern_index", "label", "pnode", "pparent", "pdep", "lemma"]].itertuples(index=False, name=None), key=lambda r: r[2])
+    below: dict[int, dict[str, tuple]] = {}
+    first = None
+    for r in rows:
+        if pd.isna(r[3]):
+            first = r
+        else:
+            below.setdefault(int(r[3]), {})[r[4]] = r
+    order = [] if first is None else [first]
+    for r in order:
+        order += below.get(r[2], {}).values()
+    height: dict[int, int] = {}
+    for r in reversed(order):
+        height[r[2]] = 1 + max((height[c[2]] for c in below.get(r[2], {}).values()), default=-1)
+    out = [(*r[:3], None if r is first else int(r[3]), *r[4:], len(below.get(r[2], {})), height[r[2]], None if r is first else height[int(r[3])]) for r in order]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RANKED.split(", ")]).astype({"pparent": "Int32", "pheight": "Int32"})
+
+
 def find_all(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
     """(sent_id, path, node, pattern_index, matched_label): path and index give the order of a walk from the root down."""
-    has = patterns.groupBy("pattern_index", F.col("pparent").alias("pnode")).agg(F.count("*").alias("kids")).filter("pnode is not null")
-    full = patterns.join(has, ["pattern_index", "pnode"], "left").fillna(0, ["kids"])
-    # heights: a leaf is 0, any other one more than its highest child; as many rounds as the deepest pattern
-    level, edges = full.filter("kids = 0").select("pattern_index", "pnode").withColumn("height", F.lit(0)), patterns.select("pattern_index", "pnode", "pparent")
-    heights = [level]
-    while True:
-        up = heights[-1].join(edges, ["pattern_index", "pnode"]).filter("pparent is not null")
-        up = up.select("pattern_index", F.col("pparent").alias("pnode"), (F.col("height") + 1).alias("height")).distinct()
-        rows = up.collect()  # one row for each inner node of the patterns at this height
-        if not rows:
-            break
-        heights.append(nodes.sparkSession.createDataFrame(rows, up.schema))
-    every = heights[0]
-    for h in heights[1:]:
-        every = every.union(h)
-    height = every.groupBy("pattern_index", "pnode").agg(F.max("height").alias("height"))
-    full = full.join(height, ["pattern_index", "pnode"])
-    matched = None
-    for k in range(len(heights)):
-        here = full.filter(F.col("height") == k)
-        found = nodes.join(here, "lemma").select("sent_id", "path", "node", "dep", "pattern_index", "pnode", "pparent", "pdep", "label", "kids")
-        if k:
-            below = matched.filter("pparent is not null and size(path) > 1 and dep = pdep").select("sent_id", F.slice("path", 1, F.size("path") - 1).alias("path"), "pattern_index", F.col("pnode").alias("child"), F.col("pparent").alias("pnode"))
-            got = below.distinct().groupBy("sent_id", "path", "pattern_index", "pnode").agg(F.count("*").alias("have"))
-            found = found.join(got, ["sent_id", "path", "pattern_index", "pnode"]).filter("have = kids").drop("have")
-        matched = found if matched is None else matched.unionByName(found)
-    return matched.filter("pparent is null").select("sent_id", "path", "node", "pattern_index", F.col("label").alias("matched_label"))
+    ranked = patterns.groupBy("pattern_index").applyInPandas(_rank, RANKED)
+    top = ranked.agg(F.max("height")).first()[0] or 0
+    key = ("sent_id", "path", "pattern_index", "pnode")
+    held = ("node", "dep", "pparent", "pdep", "label", "kids", "height", "pheight")
+    rows = nodes.join(ranked, "lemma").select(*key, *held, (F.col("kids") == 0).alias("ok"))
+    if top:
+        rows = rows.repartition("sent_id")
+    for level in range(1, top + 1):
+        # each row stays; a match also tells the node above it that the pattern's child is there
+        own = F.struct("path", "pnode", F.struct(*held, "ok").alias("own"), F.lit(None).cast("int").alias("child"))
+        above = F.struct(F.slice("path", 1, F.size("path") - 1).alias("path"), F.col("pparent").alias("pnode"), F.lit(None).cast(own_type(rows, held)).alias("own"), F.col("pnode").alias("child"))
+        tells = F.col("ok") & (F.col("pheight") == level) & (F.size("path") > 1) & (F.col("dep") == F.col("pdep"))
+        sent = F.explode(F.when(tells, F.array(own, above)).otherwise(F.array(own))).alias("m")
+        told = rows.select("sent_id", "pattern_index", sent).select("sent_id", "m.path", "pattern_index", "m.pnode", "m.own", "m.child")
+        told = told.groupBy(*key).agg(F.max("own").alias("own"), F.collect_set("child").alias("children")).filter("own is not null")
+        ok = F.when(F.col("own.height") == level, F.size("children") == F.col("own.kids")).otherwise(F.col("own.ok"))
+        rows = told.select(*key, *[F.col(f"own.{c}").alias(c) for c in held], ok.alias("ok"))
+    return rows.filter("pparent is null and ok").select("sent_id", "path", "node", "pattern_index", F.col("label").alias("matched_label"))
+
+
+def own_type(rows: DataFrame, held: tuple[str, ...]) -> T.StructType:
+    return T.StructType([rows.schema[c] for c in (*held, "ok")])
 
 
 def contains(nodes: DataFrame, patterns: DataFrame) -> DataFrame:

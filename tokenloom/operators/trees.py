@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import TREE_PATTERN
+
 NODE = "sent_id long, node int, parent int, dep string, lemma string, depth int, path array<int>, terminal boolean"
 
 
@@ -75,10 +78,17 @@ def build(sentences: DataFrame, id_col: str = "sent_id") -> DataFrame:
     return rows.filter("first is not null").mapInArrow(_build, NODE)
 
 
+def _as_pattern(tree: pd.DataFrame) -> pd.DataFrame:
+    number: dict[tuple[int, ...], int] = {}
+    rows = []
+    for path, sent, dep, lemma in sorted((tuple(int(x) for x in p), s, d, w) for p, s, d, w in zip(tree["path"], tree["sent_id"], tree["dep"], tree["lemma"], strict=True)):
+        number[path] = len(number)
+        up = number.get(path[:-1])
+        rows.append((sent, str(sent), number[path], up, None if up is None else dep, lemma))
+    return pd.DataFrame(rows, columns=["pattern_index", "label", "pnode", "pparent", "pdep", "lemma"]).astype({"pparent": "Int32"})
+
+
 def as_patterns(nodes: DataFrame, label: str | None = None) -> DataFrame:
-    """Trees as tree patterns, numbered by sentence id."""
-    return nodes.select(
-        F.col("sent_id").cast("int").alias("pattern_index"), (F.lit(label) if label else F.col("sent_id").cast("string")).alias("label"),
-        F.hash("path").alias("pnode"), F.when(F.size("path") > 1, F.hash(F.slice("path", 1, F.size("path") - 1))).alias("pparent"),
-        F.when(F.size("path") > 1, F.col("dep")).alias("pdep"), "lemma",
-    )
+    """Trees as tree patterns, numbered by sentence id; a pattern's nodes are numbered in preorder."""
+    rows = nodes.groupBy("sent_id").applyInPandas(_as_pattern, TREE_PATTERN)
+    return rows if label is None else rows.withColumn("label", F.lit(label))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan import once
+from ..functions.plan import once, spread
 from ..operators import codec
 from ..schema import END_MARKER, MARKER, TOKENS
 
@@ -22,7 +22,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "sentence")).filter("sentence <> ''")
     code = F.when(F.col("lang") == "en", "eng").when(F.col("lang") == "fr", "fra").when(F.col("lang") == "de", "deu").when(F.col("lang") == "es", "spa").otherwise(F.col("lang"))
-    return lines.select((F.col("doc_id") * 100000 + F.col("i") + 1).alias("sent_id"), code.alias("language"), "sentence")
+    return spread(lines.select((F.col("doc_id") * 100000 + F.col("i") + 1).alias("sent_id"), code.alias("language"), "sentence"), "sent_id")
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,6 +429,23 @@ def _dep_sql() -> str:
     return TOK + ", deps AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def _grammar_sql() -> str:
+    """Lines of the body between opening and ending, each held against the grammar; words by their set of characters."""
+    pos, dep = "|".join(p for p in POS if p != "SPACE"), "|".join(x for x in DEP if ":" not in x)
+    line = rf"^[0-9]+\t[^\t]+\t(_|none|nbsp|thinsp|hairsp|zwsp|ideogrp)\t({pos})\t[^\t]+\t({dep})\t-?[0-9]+$"
+    return RESP + rf""",
+body AS (
+  SELECT sent_id, sentence, suffix(response, ending) AS ended,
+         string_split(replace(CASE WHEN prefix(response, opening) THEN substr(response, length(opening) + 1, length(response) - length(opening) - length(ending))
+                              ELSE substr(response, 1, length(response) - length(ending)) END, chr(10) || '-----' || chr(10), chr(10)), chr(10)) AS ls
+  FROM resp, e
+),
+each AS (SELECT sent_id, sentence, ended, unnest(ls) AS line FROM body)
+SELECT sent_id, bool_and(ended AND regexp_matches(line, '{line}')
+  AND len(list_filter(string_split(coalesce(string_split(line, chr(9))[2], '') || coalesce(string_split(line, chr(9))[5], ''), ''), lambda c: NOT contains(sentence, c))) = 0) AS fits
+FROM each GROUP BY sent_id"""
+
+
 def _with(prelude: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{prelude.strip()}\n{select}"
 
@@ -518,6 +535,7 @@ grp AS (
         "limit_per_language": _with(SENT, "SELECT language, sent_id FROM sent QUALIFY row_number() OVER (PARTITION BY language ORDER BY sent_id) <= 50"),
         "latest_checkpoint": "SELECT 'run/checkpoint-' || max(doc_id) AS path, max(doc_id) AS step FROM documents WHERE doc_id % 3 = 0",
         "json_round_trip": _with(TOK, "SELECT s.sent_id, md5(coalesce(string_agg(lemma, ' ' ORDER BY idx), '')) AS lemmas_md5 FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
+        "grammar_check": "WITH " + _grammar_sql().strip(),
         "token_budget": _with(SENT, f"SELECT sent_id, {budget} AS max_tokens FROM sent"),
     }
     for key in ("text", "lemma"):
