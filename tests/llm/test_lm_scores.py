@@ -41,7 +41,14 @@ def test_against_brute_force(spark, order):
         assert got[k][0] == n and abs(got[k][1] - s) < 1e-9 * max(1, abs(s))
 
 
-def test_vocabulary_and_empty(spark):
+def test_rare_words_and_empty(spark):
     assert lm_scores.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(1, "a a a b"), (2, "a a c"), (None, "a d"), (2, "a a c")], "doc_id long, text string")
-    assert len(lm_scores.score(df, vocabulary=1).collect()) == 4
+    assert len(lm_scores.score(df).collect()) == 4
+    # 70,000 different words, each in two texts: none of them is merged with another
+    docs = [(i, " ".join(f"w{j}" for j in range(i // 2 * 1000, i // 2 * 1000 + 1000))) for i in range(140)]
+    want = brute(docs, 3, 0.4)
+    got = {r.id: (r.n_words, r.log_score) for r in lm_scores.score(spark.createDataFrame(docs, "doc_id long, text string"), parts=7, block_bytes=50_000).collect()}
+    assert set(got) == set(want)
+    for k, (n, s) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - s) < 1e-9 * max(1, abs(s))

@@ -21,17 +21,26 @@ from ._bytes import LOWER, SpanHash, mix, pieces, runs, utf8
 from ._spark import materialize, pick
 from .simhash import SPACE
 
-MOST_WORDS = 65_535
+STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray, width: int = 8) -> bytes:
     """Numbers as bytes, the lowest bytes of all first, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    planes = np.ascontiguousarray(numbers.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, width: int = 8) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data).view(np.uint64), dtype=np.uint64)
 
 
 def _words(column: pa.Array):
@@ -41,91 +50,63 @@ def _words(column: pa.Array):
     return (SpanHash(buf)(start, end) if len(start) else np.zeros(0, np.uint64)), first
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's words, summed before they leave (in runs of a million different ones)."""
-    word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def out():
-        for i in range(0, len(word), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["word", "n"])
-
-    for piece in pieces(batches, "text"):
-        w, c = np.unique(_words(piece.column("text"))[0], return_counts=True)
-        both, back = np.unique(np.r_[word, w], return_inverse=True)
-        n = np.bincount(back, np.r_[n, c], minlength=len(both)).astype(np.int64)
-        word = both
-        if len(word) > 1_000_000:
-            yield from out()
-            word, n = word[:0], n[:0]
-    yield from out()
-
-
-class Vocabulary:
-    """Numbers from 1 up for the most frequent words; 0 stands for all others."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.r_[total - counts.sum(), counts[order]].astype(np.int64)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0)
-
-
-def _encode(vocabulary: Vocabulary, block_bytes: int):
-    """Blocks of documents as word numbers of two bytes each."""
+def _encode(block_bytes: int):
+    """Blocks of documents: the sorted hashes of a block's words, and each word's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for piece in pieces(batches, "text", block_bytes):
             h, first = _words(piece.column("text"))
-            words = vocabulary.numbers(h).astype("<u2").tobytes()
+            known, at = np.unique(h, return_inverse=True)
             ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("id"))
             lengths = pa.array([np.diff(first).tolist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, lengths, pa.array([words], pa.binary())], ["block", "ids", "lengths", "words"])
+            packed = [pa.array([x], pa.binary()) for x in (_pack_sorted(known), _pack(at, 4))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(h)], pa.int64()), ids, lengths, *packed], ["block", "size", "ids", "lengths", "known", "words"])
             number += 1
 
     return run
 
 
-BLOCK = "block long, ids array<long>, lengths array<long>, words binary"
+BLOCK = "block long, size long, ids array<long>, lengths array<long>, known binary, words binary"
 
 
-def _grams(words: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words that end an n-gram inside their text, and the n-grams' keys."""
-    at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.flatnonzero(at >= n - 1)
-    key = np.zeros(len(place), np.uint64)
-    for k in range(n - 1, -1, -1):
-        key = (key << np.uint64(16)) | words[place - k].astype(np.uint64)
-    return place, key
+def _read(row) -> tuple[np.ndarray, np.ndarray]:
+    return _unpack_sorted(row["known"])[_unpack(row["words"], 4)], np.array(row["lengths"], np.int64)
 
 
-def _dealt(keys: np.ndarray, n: int, parts: int) -> np.ndarray:
-    return (mix(keys + np.uint64(n)) >> np.uint64(20)).astype(np.int64) % parts
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """Each word's place in its own text."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _read(row) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["words"], "<u2").astype(np.int64), np.array(row["lengths"], np.int64)
+def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from 1 up: the places of words that end an n-gram inside their text, and the n-grams' keys of 64 bits."""
+    at = _places(lengths)
+    key = mix(words)
+    for n in range(1, order + 1):
+        if n > 1:
+            key = np.r_[np.zeros(1, np.uint64), mix(key[:-1] * STEP + words[1:])] if len(words) else key
+        place = np.flatnonzero(at >= n - 1)
+        yield n, place, key[place]
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each partition's keys begin among sorted ones: keys are spread evenly, so each has an equal range of them."""
+    return np.searchsorted(keys >> np.uint64(32), np.array([-(-(p << 32) // parts) for p in range(parts)] + [1 << 32], np.uint64))
 
 
 def _send(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words, lengths = _read(row)
-                for n in range(2, order + 1):
-                    keys, counts = np.unique(_grams(words, lengths, n)[1], return_counts=True)
-                    part = _dealt(keys, n, parts)
-                    by = np.argsort(part, kind="stable")
-                    cut = np.searchsorted(part[by], np.arange(parts + 1))
-                    rows = []
-                    for p in np.flatnonzero(np.diff(cut)).tolist():
-                        some = by[cut[p] : cut[p + 1]]
-                        rows.append({"part": p, "n": n, "block": row["block"], "keys": _pack(np.diff(keys[some], prepend=np.uint64(0))), "counts": _pack(counts[some])})
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                for n, _, key in _grams(*_read(row), order):
+                    keys, counts = np.unique(key, return_counts=True)
+                    cut = _cuts(keys, parts)
+                    rows = [
+                        {"part": p, "n": n, "block": row["block"], "keys": _pack_sorted(keys[cut[p] : cut[p + 1]]), "counts": _pack(counts[cut[p] : cut[p + 1]])}
+                        for p in np.flatnonzero(np.diff(cut)).tolist()
+                    ]
                     yield pa.RecordBatch.from_pylist(rows, schema=SENT_ARROW)
 
     return run
@@ -139,7 +120,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition of the count tables: sums, and the totals of what each block asked for, in its order."""
 
     def solve(rows):
-        keys = [np.cumsum(_unpack(r["keys"]).view(np.uint64), dtype=np.uint64) for r in rows]
+        keys = [_unpack_sorted(r["keys"]) for r in rows]
         all_, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, np.concatenate([_unpack(r["counts"]) for r in rows])).astype(np.int64)
         at = 0
@@ -172,31 +153,24 @@ def _own(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(vocabulary: Vocabulary, order: int, parts: int, alpha: float):
+def _score(corpus_words: int, order: int, alpha: float):
     def one(row) -> tuple[np.ndarray, np.ndarray]:
         words, lengths = _read(row)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        answers = {(a["n"], a["part"]): _unpack(a["totals"]) for a in row["answers"] or []}
-        every = (vocabulary.total - lengths)[doc]
-        lower = vocabulary.counts[words] - _own(words, doc)  # counts of the grams of one word less that end at each place
-        best = np.log(np.maximum(lower, 1)) - np.log(np.maximum(every, 1))
-        best += np.log(alpha) * np.minimum(order - 1, np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        for n in range(2, order + 1):
-            place, key = _grams(words, lengths, n)
-            distinct, back = np.unique(key, return_inverse=True)
-            total = np.empty(len(distinct), np.int64)
-            part = _dealt(distinct, n, parts)
-            by = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[by], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                total[by[cut[p] : cut[p + 1]]] = answers[n, p]
-            count = total[back] - _own(key, doc[place])
-            context = lower[place - 1]
-            seen = count > 0
+        doc, at = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
+        answers: dict[int, list[np.ndarray]] = {}
+        for a in sorted(row["answers"] or [], key=lambda a: (a["n"], a["part"])):  # partitions hold rising ranges of keys
+            answers.setdefault(a["n"], []).append(_unpack(a["totals"]))
+        every = (corpus_words - lengths)[doc]
+        best = lower = np.zeros(len(words))  # lower: counts of the grams of one word less that end at each place
+        for n, place, key in _grams(words, lengths, order):
+            if not len(place):
+                break
+            count = np.concatenate(answers[n])[np.unique(key, return_inverse=True)[1]] - _own(key, doc[place])
+            seen = np.ones(len(place), bool) if n == 1 else count > 0
+            context = np.maximum(every, 1) if n == 1 else lower[place - 1]
             # alpha once for each word of context that is there and goes unused
-            at = place - (np.cumsum(lengths) - lengths)[doc[place]]
-            spare = np.minimum(order - 1, at) - (n - 1)
-            best[place[seen]] = np.log(count[seen]) - np.log(context[seen]) + np.log(alpha) * spare[seen]
+            spare = np.minimum(order - 1, at[place]) - (n - 1)
+            best[place[seen]] = (np.log(np.maximum(count, 1)[seen]) - np.log(context[seen])) + np.log(alpha) * spare[seen]
             lower = np.zeros(len(words), np.int64)
             lower[place] = count
         return lengths, np.bincount(doc, best, minlength=len(lengths))
@@ -211,27 +185,25 @@ def _score(vocabulary: Vocabulary, order: int, parts: int, alpha: float):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, vocabulary: int = MOST_WORDS, block_bytes: int = 4 << 20, parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, parts: int | None = None) -> DataFrame:
     """(id, n_words, log_score): sum over a text's words of the natural log of their stupid-backoff score.
 
-    Words are what stands between ASCII white space, A-Z lower-cased; all but the ``vocabulary`` most frequent count as
-    one word. A word's score is c(n-gram) / c(context) for its longest n-gram of at most ``order`` words with c > 0, times
-    ``alpha`` for each shorter step; for a single word c / N with c at least 1. Counts are of all documents, less those of
-    the text itself. Null and wordless texts have 0 words and score 0; repeated rows are documents of their own.
+    Words are what stands between ASCII white space, A-Z lower-cased; every word counts, however rare, and the tables grow
+    with the corpus. The driver learns one number, how many words there are. A word's score is c(n-gram) / c(context) for its
+    longest n-gram of at most ``order`` words with c > 0, times ``alpha`` for each shorter step; for a single word c / N with
+    c at least 1. Counts are of all documents, less those of the text itself; n-grams are told apart by hashes of 64 bits.
+    Null and wordless texts have 0 words and score 0; repeated rows are documents of their own.
     """
-    if not 2 <= order <= 4 or not 1 <= vocabulary <= MOST_WORDS:
-        raise ValueError("n-grams of 2 to 4 words, at most 65,535 words")
+    if order < 2:
+        raise ValueError("n-grams of at least 2 words")
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    counts, _ = materialize(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    known = Vocabulary(np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64), total)
-    blocks, _ = materialize(docs.mapInArrow(_encode(known, block_bytes), BLOCK), "blocks")
+    blocks, _ = materialize(docs.mapInArrow(_encode(block_bytes), BLOCK), "blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
     sent = blocks.mapInArrow(_send(order, parts), SENT).repartition(parts, "part").sortWithinPartitions("part", "n")
     answers = sent.mapInArrow(_answer, "part int, n int, block long, totals binary").groupBy("block").agg(F.collect_list(F.struct("part", "n", "totals")).alias("answers"))
-    return blocks.join(answers, "block", "left").mapInArrow(_score(known, order, parts, alpha), "id long, n_words long, log_score double")
+    return blocks.join(answers, "block", "left").mapInArrow(_score(total, order, alpha), "id long, n_words long, log_score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
