@@ -55,3 +55,48 @@ def test_odd_rows(spark):
     got = sorted(tuple(r) for r in N.nearest_neighbours(df, lambda i: i % 20 == 0, sample_rows=3).collect())
     assert {q for q, *_ in got} == {0} and {i for _, _, i, _ in got} == {5, 8}
     assert N.nearest_neighbours(df.limit(0), lambda i: i % 20 == 0).collect() == []
+
+
+def ranks(spark, x, **more):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in sorted(tuple(r) for r in N.nearest_neighbours(df, lambda i: i % 20 == 0, **more).collect()):
+        got.setdefault(r[0], []).append(r[1:])
+    return got
+
+
+def test_lone_vectors_have_complete_ranks(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(60, 64)))
+    x = unit(np.repeat(centres, 40, axis=0) + 0.002 * rng.normal(size=(2400, 64)))
+    lone = np.arange(0, 2400, 100)
+    x[lone] = unit(rng.normal(size=(len(lone), 64)))
+    got, want = ranks(spark, x, shard_rows=900), brute(np.arange(len(x)), x, 20)
+    assert set(got) == set(want)
+    assert all([r[0] for r in rows] == list(range(1, 21)) for rows in got.values())
+    for q in lone.tolist():
+        assert [r[1] for r in got[q]] == [i for i, _ in want[q]]
+
+
+@pytest.mark.parametrize("n", [2, 15, 21, 30])
+def test_tables_of_about_k_rows(spark, n):
+    got, want = ranks(spark, np.random.default_rng(n).normal(size=(n, 16))), brute(np.arange(n), np.random.default_rng(n).normal(size=(n, 16)), 20)
+    assert set(got) == set(want)
+    for q, rows in got.items():
+        assert [r[0] for r in rows] == list(range(1, min(20, n - 1) + 1))
+        if n <= 21:
+            assert [r[1] for r in rows] == [i for i, _ in want[q]]
+
+
+def test_scan_is_exact():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 12))
+    x[100:200] = x[100]
+    ids = rng.permutation(700).astype(np.int64)
+    ids[5] = ids[6]
+    for (found, score), i in zip(N._scan(ids, x, ids[:150].tolist(), x[:150], 20), range(150), strict=True):
+        ok = np.flatnonzero(ids != ids[i])
+        s = (x[ok] * x[i]).sum(axis=1)
+        best = np.lexsort((ids[ok], -s))[:20]
+        assert found.tolist() == ids[ok][best].tolist() and score.tolist() == s[best].tolist()

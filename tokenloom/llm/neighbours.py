@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import pick
+from ._spark import materialize, pick
 
 PART = 16  # bits of a substring
+SCAN = 64  # queries scored at once against a whole shard
 
 
 @dataclass
@@ -125,12 +126,29 @@ def _nearest(ids, vectors, query_id, query, rows, k):
     return ids[rows][order], score[order]
 
 
+def _scan(ids, vectors, query_ids, queries, k):
+    """The k nearest of all rows for each query: scores by matrix product leave out most rows, _nearest decides on the rest."""
+    longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
+    out = []
+    for a in range(0, len(queries), SCAN):
+        scores = queries[a : a + SCAN] @ vectors.T
+        for i, q, score in zip(query_ids[a : a + SCAN], queries[a : a + SCAN], scores, strict=True):
+            score[ids == i] = -np.inf
+            slack = 1e-9 * longest * np.sqrt((q * q).sum())
+            rows = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - slack) if len(score) > k else np.arange(len(score))
+            out.append(_nearest(ids, vectors, i, q, rows, k))
+    return out
+
+
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
-def _search(codes: Codes, dimension: int, k: int):
-    """Rows come by shard, its vectors before the queries (asks). A shard is indexed once; queries pass by in batches."""
+def _search(codes: Codes, dimension: int, k: int, whole: bool = False):
+    """Rows come by shard, its vectors before the queries (asks). A shard is indexed once; queries pass by in batches.
+
+    With ``whole`` queries meet every row of the shard, not only those within the radius.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, index = None, [], None
@@ -148,12 +166,15 @@ def _search(codes: Codes, dimension: int, k: int):
                 if index is None:
                     ids = np.concatenate([np.zeros(0, np.int64), *(h[0] for h in held)])
                     vectors = np.concatenate([np.zeros((0, dimension)), *(h[1] for h in held)])
-                    index = MultiIndex(codes.of_rows(vectors))
-                queries = _matrix(part.column("vector"), dimension)
-                found = [
-                    _nearest(ids, vectors, i, q, index.within(c, codes.radius), k)
-                    for i, q, c in zip(part.column("id").to_pylist(), queries, codes.of_queries(queries), strict=True)
-                ]
+                    index = whole or MultiIndex(codes.of_rows(vectors))
+                queries, query_ids = _matrix(part.column("vector"), dimension), part.column("id").to_pylist()
+                if whole:
+                    found = _scan(ids, vectors, query_ids, queries, k)
+                else:
+                    found = [
+                        _nearest(ids, vectors, i, q, index.within(c, codes.radius), k)
+                        for i, q, c in zip(query_ids, queries, codes.of_queries(queries), strict=True)
+                    ]
                 off = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
                 pairs = pa.StructArray.from_arrays([pa.array(-np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], ["less", "id"])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(off, pairs)], ["query", "near"])
@@ -169,7 +190,7 @@ def nearest_neighbours(
 
     Nearest: largest inner product; ties go to the smaller id. The codes and the radius are fitted on the ``sample_rows``
     rows of least hash of id; every row is indexed, in shards of at most about ``shard_rows``, and every query meets every
-    shard. Rows with a null id, with a null or zero vector, with null or non-finite components, or with another length
+    shard. Queries that find fewer than k rows within the radius (or than there are) are compared with all rows. Rows with a null id, with a null or zero vector, with null or non-finite components, or with another length
     than most, take no part. Rows that repeat an id count as often as they come but are no neighbours of each other.
     """
     spark = rows.sparkSession
@@ -187,11 +208,23 @@ def nearest_neighbours(
     codes = learn(sample, n, top * (1 + 1e-9), k, bits, recall)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(-(-n // shard_rows), min(width, -(-n // 4000)))
-    asks = rows.filter(is_query(F.col("id"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
-    both = dealt.unionByName(asks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks", "id")
-    found = both.mapInArrow(_search(codes, d, k), "query long, near array<struct<less:double,id:bigint>>")
-    best = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    def search(queries: DataFrame, whole: bool) -> DataFrame:
+        asks = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+        both = dealt.unionByName(asks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+        found = both.mapInArrow(_search(codes, d, k, whole), "query long, near array<struct<less:double,id:bigint>>")
+        # each row that asks gives one row for each shard
+        return found.groupBy("query").agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), (F.count("*") / shards).cast("long").alias("times")
+        )
+
+    queries = rows.filter(is_query(F.col("id")))
+    best, _ = materialize(search(queries, False), "neighbours")
+    is_short = F.size("near") < F.least(F.lit(k), F.col("times") * (F.lit(n) - F.col("times")))
+    short = best.filter(is_short).select(F.col("query").alias("id"))
+    if not short.isEmpty():
+        best = best.filter(~is_short).unionByName(search(queries.join(short, "id", "left_semi"), True))
     flat = best.select("query", F.posexplode("near").alias("at", "n"))
     return flat.select("query", (F.col("at") + 1).alias("rank"), F.col("n.id").alias("id"), (-F.col("n.less")).alias("score"))
 
