@@ -85,3 +85,15 @@ def test_query_digest(spark, tmp_path):
     got = {r.doc_id: r for r in D.query(spark, str(tmp_path)).collect()}
     assert got[1].items_sha256 == hashlib.sha256(b"10,9").hexdigest() and got[1].contaminated and got[1].n_hit == 2
     assert got[2].items_sha256 == hashlib.sha256(b"").hexdigest() and not got[2].contaminated
+
+
+def test_many_blocks_keep_rows_that_share_an_id(spark):
+    docs = [(1, "a b"), (1, "x a b c d"), (1, "clean"), (None, "c d"), (None, "clean, too"), (None, None), (2, "a b c d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(7, "a b"), (8, "c d"), (9, "e f")], "item_id long, text string")
+    key = lambda r: (r.id, r.carry.text, r.n_words, [tuple(s) for s in r.spans], r["items"])
+    got = [sorted(map(key, D.contamination(df, items, carry=["text"], block_bytes=size).collect()), key=repr) for size in (1 << 20, 3)]
+    spans = {r[1]: [s[:2] for s in r[3]] for r in got[1]}
+    assert len(got[1]) == len(docs) and spans["x a b c d"] == [(1, 5)] and spans["clean"] == spans["clean, too"] == []
+    for one, many in zip(*got, strict=True):
+        assert one[:3] == many[:3] and one[4] == many[4] and one[3] == many[3]

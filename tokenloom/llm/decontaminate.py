@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SpanHash, pieces, runs, utf8
-from ._spark import carried, carry_columns, pick, pick_carry
+from ._spark import carried, carry_columns, materialize, pick, pick_carry
 
 #: Bytes of words: digits, lower-case letters and all that isn't ASCII.
 WORD = np.ones(256, bool)
@@ -223,16 +223,19 @@ def contamination(
     """(id, n_words, spans, items, carry if asked for): merged spans of words, and bytes, inside any occurrence of a window of the benchmark.
 
     No shuffle: each task indexes its shards of whole documents and searches them for the windows it was sent. These are
-    sent in blocks of at most ``block_bytes`` of benchmark text (one item at least); with more than one block the spans
-    of each document are merged by id. Null and wordless texts have no words, null or wordless items no windows; items
-    are named by their ids as text (null: empty), and items that share an id are one. Repeated rows give repeated rows
-    while the benchmark is one block; beyond that, rows that share an id are merged. Empty tables are fine on either side.
+    sent in blocks of at most ``block_bytes`` of benchmark text (one item at least); with more than one block the rows are
+    numbered, written once, and the spans of each row merged by its number. Null and wordless texts have no words, null or wordless items no windows; items
+    are named by their ids as text (null: empty), and items that share an id are one. Each row gives a row, whatever its
+    id. Empty tables are fine on either side.
     """
     docs = pick_carry(docs, carry, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text")
     items = items.filter("text is not null").withColumn("size", F.octet_length("text").cast("long"))
     total = items.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // block_bytes))
+    if n > 1:
+        numbered, _ = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        docs = numbered.select(F.col("row").alias("id"), "text")
     found = []
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -245,7 +248,6 @@ def contamination(
         union = union.union(f)
     merged = union.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
-        *([F.first("carry").alias("carry")] if carry else []),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -254,7 +256,8 @@ def contamination(
         "concat(slice(a, 1, size(a) - 1), array(named_struct('word_start', a[size(a) - 1].word_start, 'word_end', greatest(a[size(a) - 1].word_end, s.word_end), "
         "'byte_start', a[size(a) - 1].byte_start, 'byte_end', greatest(a[size(a) - 1].byte_end, s.byte_end)))), concat(a, array(s))))"
     )
-    return merged.withColumn("spans", F.expr(join))
+    merged = merged.withColumnRenamed("id", "row").withColumn("spans", F.expr(join))
+    return numbered.drop("text").join(merged, "row").select("id", "n_words", "spans", "items", *(["carry"] if carry else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
