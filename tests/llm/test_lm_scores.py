@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenloom.llm import lm_scores
 
@@ -52,3 +54,17 @@ def test_rare_words_and_empty(spark):
     assert set(got) == set(want)
     for k, (n, s) in want.items():
         assert got[k][0] == n and abs(got[k][1] - s) < 1e-9 * max(1, abs(s))
+
+
+def test_words_whose_hashes_begin_alike_count_apart(spark):
+    names = [f"w{i}" for i in range(40_000)]
+    h, _ = lm_scores._words(pa.array(names))
+    key = lm_scores.mix(h)
+    by = np.argsort(key)
+    at = int(np.argmin(np.diff(key[by])))
+    one, other = names[by[at]], names[by[at + 1]]
+    assert int(key[by[at + 1]] ^ key[by[at]]) >> (64 - 26) == 0
+    docs = [(0, one), (1, other), (2, other), (3, f"{other} x"), (4, "y z y z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: r.log_score for r in lm_scores.score(df, order=2).collect()}
+    assert got == pytest.approx({k: s for k, (_, s) in brute(docs, 2, 0.4).items()})

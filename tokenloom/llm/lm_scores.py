@@ -22,8 +22,6 @@ from ._spark import materialize, pick
 from .simhash import SPACE
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Keys have this many bits more than the number of the corpus's words has, so about one n-gram in 2**SPARE meets another's key.
-SPARE = 20
 
 
 def _pack(numbers: np.ndarray, width: int = 8) -> bytes:
@@ -85,30 +83,30 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _grams(words: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n from 1 up: the places of words that end an n-gram inside their text, and the n-grams' keys of ``bits`` bits."""
+def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from 1 up: the places of words that end an n-gram inside their text, and the n-grams' keys of 64 bits."""
     at = _places(lengths)
     key = mix(words)
     for n in range(1, order + 1):
         if n > 1:
             key = np.r_[np.zeros(1, np.uint64), mix(key[:-1] * STEP + words[1:])] if len(words) else key
         place = np.flatnonzero(at >= n - 1)
-        yield n, place, key[place] >> np.uint64(64 - bits)
+        yield n, place, key[place]
 
 
-def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each partition's keys begin among sorted ones: keys are spread evenly, so each has an equal range of them."""
-    return np.r_[np.searchsorted(keys, np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)), len(keys)]
+    return np.r_[np.searchsorted(keys, np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)), len(keys)]
 
 
-def _send(order: int, parts: int, bits: int):
+def _send(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                for n, _, key in _grams(*_read(row), order, bits):
+                for n, _, key in _grams(*_read(row), order):
                     keys, counts = np.unique(key, return_counts=True)
-                    cut = _cuts(keys, parts, bits)
+                    cut = _cuts(keys, parts)
                     rows = [
                         {"part": p, "n": n, "block": row["block"], "keys": _pack_sorted(keys[cut[p] : cut[p + 1]]), "counts": _pack(counts[cut[p] : cut[p + 1]])}
                         for p in np.flatnonzero(np.diff(cut)).tolist()
@@ -159,7 +157,7 @@ def _own(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(corpus_words: int, order: int, alpha: float, bits: int):
+def _score(corpus_words: int, order: int, alpha: float):
     def one(row) -> tuple[np.ndarray, np.ndarray]:
         words, lengths = _read(row)
         doc, at = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
@@ -168,7 +166,7 @@ def _score(corpus_words: int, order: int, alpha: float, bits: int):
             answers.setdefault(a["n"], []).append(_unpack(a["totals"]))
         every = (corpus_words - lengths)[doc]
         best = lower = np.zeros(len(words))  # lower: counts of the grams of one word less that end at each place
-        for n, place, key in _grams(words, lengths, order, bits):
+        for n, place, key in _grams(words, lengths, order):
             if not len(place):
                 break
             count = np.concatenate(answers[n])[np.unique(key, return_inverse=True)[1]] - _own(key, doc[place])
@@ -197,8 +195,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Words are what stands between ASCII white space, A-Z lower-cased; every word counts, however rare, and the tables grow
     with the corpus. The driver learns one number, how many words there are. A word's score is c(n-gram) / c(context) for its
     longest n-gram of at most ``order`` words with c > 0, times ``alpha`` for each shorter step; for a single word c / N with
-    c at least 1. Counts are of all documents, less those of the text itself; n-grams are told apart by hashes whose
-    width grows with the corpus (SPARE).
+    c at least 1. Counts are of all documents, less those of the text itself; n-grams are told apart by hashes of 64 bits.
     Null and wordless texts have 0 words and score 0; repeated rows are documents of their own.
     """
     if order < 2:
@@ -208,10 +205,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     blocks, _ = materialize(docs.mapInArrow(_encode(block_bytes), BLOCK), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    bits = min(64, int(total).bit_length() + SPARE)
-    sent = blocks.mapInArrow(_send(order, parts, bits), SENT).repartition(parts, "part").sortWithinPartitions("part", "n")
+    sent = blocks.mapInArrow(_send(order, parts), SENT).repartition(parts, "part").sortWithinPartitions("part", "n")
     answers = sent.mapInArrow(_answer, "part int, n int, block long, totals binary").groupBy("block").agg(F.collect_list(F.struct("part", "n", "totals")).alias("answers"))
-    return blocks.join(answers, "block", "left").mapInArrow(_score(total, order, alpha, bits), "id long, n_words long, log_score double")
+    return blocks.join(answers, "block", "left").mapInArrow(_score(total, order, alpha), "id long, n_words long, log_score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
