@@ -56,15 +56,51 @@ def test_rare_words_and_empty(spark):
         assert got[k][0] == n and abs(got[k][1] - s) < 1e-9 * max(1, abs(s))
 
 
-def test_words_whose_hashes_begin_alike_count_apart(spark):
-    names = [f"w{i}" for i in range(40_000)]
-    h, _ = lm_scores._words(pa.array(names))
-    key = lm_scores.mix(h)
-    by = np.argsort(key)
-    at = int(np.argmin(np.diff(key[by])))
-    one, other = names[by[at]], names[by[at + 1]]
-    assert int(key[by[at + 1]] ^ key[by[at]]) >> (64 - 26) == 0
-    docs = [(0, one), (1, other), (2, other), (3, f"{other} x"), (4, "y z y z")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.id: r.log_score for r in lm_scores.score(df, order=2).collect()}
-    assert got == pytest.approx({k: s for k, (_, s) in brute(docs, 2, 0.4).items()})
+def test_words_of_one_hash_count_apart(spark, monkeypatch):
+    """Every word has one of three hashes: words are still told apart by their bytes, in a block and in the vocabulary."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefGH") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    batch = pa.record_batch({"id": [d for d, _ in docs], "text": [t for _, t in docs]})
+    monkeypatch.setattr(lm_scores, "word_hashes", lambda buf, start, end: ((end - start) % 3).astype(np.uint64))
+    buf, off = lm_scores.utf8(batch.column("text"))
+    buf = lm_scores.LOWER[buf]
+    start, end, _ = lm_scores.runs(~lm_scores.SPACE[buf], off)
+    place, words, counts = lm_scores.distinct_words(buf, start, end)
+    data = buf.tobytes()
+    names = [data[a:z] for a, z in zip(start, end)]
+    assert [names[p] for p in place[words]] == names and counts.tolist() == np.bincount(words).tolist()
+    rows = [r for b in lm_scores._ask_words(2)([lm_blocks(batch)]) for r in b.to_pylist()]
+    rows.sort(key=lambda r: (r["part"], r["block"]))
+    told = [r for b in lm_scores._number_words(2)([pa.RecordBatch.from_pylist(rows, schema=lm_scores.ASKED)]) for r in b.to_pylist()]
+    numbers = np.concatenate([lm_scores._unpack(r["numbers"]) for r in told])
+    assert len(set(numbers.tolist())) == len(place)
+
+
+def lm_blocks(batch):
+    from unittest import mock
+
+    with mock.patch.object(lm_scores, "TaskContext", mock.Mock(get=lambda: mock.Mock(partitionId=lambda: 0))):
+        return next(lm_scores._encode(1 << 20)([batch]))
+
+
+def test_count_table_is_exact():
+    rng = np.random.default_rng(4)
+    rows, want = [], Counter()
+    for block in range(5):
+        grams = np.unique(rng.integers(0, 1 << 32, (40, 3)) * (rng.random((40, 3)) < 0.5), axis=0)
+        counts = rng.integers(1, 400, len(grams))
+        packed = lm_scores._pack(np.concatenate([np.diff(grams[:, 0], prepend=0), grams[:, 1], grams[:, 2]]))
+        rows.append({"n": 3, "grams": packed, "counts": lm_scores._pack_counts(counts)})
+        want.update({(block, tuple(g)): c for g, c in zip(grams.tolist(), counts.tolist())})
+    total, which, counts, sizes = lm_scores._count_table(rows)
+    sums = Counter()
+    for (_, g), c in want.items():
+        sums[g] += c
+    assert total[which].tolist() == [sums[g] for _, g in want] and counts.tolist() == list(want.values()) and sum(sizes) == len(which)
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    docs = [(0, "x y z " * 40_000), (1, "y z"), (2, None)]
+    df = spark.createDataFrame([(*d, "a") for d in docs], "doc_id long, text string, Text string")
+    got = {r.id: r.log_score for r in lm_scores.score(df, block_bytes=10_000).collect()}
+    assert got == pytest.approx({k: s for k, (_, s) in brute(docs, 3, 0.4).items()})

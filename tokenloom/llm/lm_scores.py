@@ -1,9 +1,14 @@
 """Stupid-backoff scores of whole texts from n-gram counts of the whole corpus, each text's own counts left out.
 
-n-grams are exploded in blocks of documents: each block sends its distinct n-grams and their counts to the partitions of
-the count tables, dealt by hash; each partition sums and answers every block with the totals of the n-grams it asked for; a
-join on the block gives them back to its documents, and scores are summed by document. Packed rows hold keys sorted and
-compressed, so an n-gram costs a few bytes on its way.
+Relations, all nested by block of documents so that an n-gram costs a few bytes on its way instead of a row:
+
+* blocks (block, documents, words): each document's words as numbers of the block's own dictionary;
+* vocabulary: the blocks' distinct words, as text, dealt by hash; gives every word its number in the whole corpus and count;
+* grams (part, n, block, words' numbers, counts): the blocks' exploded n-grams, distinct in the block, dealt by hash;
+* count tables: each partition sums its grams and joins the sums to them; totals go back to the blocks that asked;
+* scores: blocks joined to their totals, summed by document.
+
+Words are told apart as text and n-grams by the numbers of all their words, so different ones never share a count.
 """
 
 from __future__ import annotations
@@ -12,70 +17,210 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SpanHash, mix, pieces, runs, utf8
-from ._spark import materialize, pick
+from ._spark import materialize, pick, remove
 from .simhash import SPACE
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
+#: n-grams of one order that a task sums at once, about.
+TASK_GRAMS = 3_000_000
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def _pack(numbers: np.ndarray, width: int = 8) -> bytes:
-    """Numbers as bytes, the lowest bytes of all first, compressed."""
-    planes = np.ascontiguousarray(numbers.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _unpack(data: bytes, width: int = 8) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as bytes, the lowest bytes of all first, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return _zip(np.ascontiguousarray(planes).tobytes())
 
 
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Any numbers, but small if they rise: each is kept as its distance to the one before, which may wrap around."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(_unzip(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data).view(np.uint64), dtype=np.uint64)
+def _pack_counts(numbers: np.ndarray) -> bytes:
+    """Numbers that are small for the most part, and may be any."""
+    big = np.flatnonzero(numbers >= 255)
+    low = np.minimum(numbers, 255).astype(np.uint8)
+    return _zip(np.int64(len(big)).tobytes() + numbers[big].astype("<i8").tobytes() + low.tobytes())
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    raw = _unzip(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    out = np.frombuffer(raw, np.uint8, offset=8 + 8 * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", n, 8)
+    return out
 
 
-def _words(column: pa.Array):
-    buf, off = utf8(column)
-    buf = LOWER[buf]
-    start, end, first = runs(~SPACE[buf], off)
-    return (SpanHash(buf)(start, end) if len(start) else np.zeros(0, np.uint64)), first
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return SpanHash(buf)(start, end)
+
+
+def _same_bytes(buf, start, end, other) -> bool:
+    """Whether each span holds the same bytes as the span that ``other`` names for it."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    step = 1 << 18
+    for a in range(0, len(start), step):
+        s = slice(a, a + step)
+        inside = np.arange(int(size[s].sum())) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
+        if (buf[inside + np.repeat(start[s], size[s])] != buf[inside + np.repeat(start[other[s]], size[s])]).any():
+            return False
+    return True
+
+
+def distinct_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each distinct word, frequent ones first; each word's number among them; their counts), told apart by bytes."""
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    _, first, at, times = np.unique(word_hashes(buf, start, end), return_index=True, return_inverse=True, return_counts=True)
+    if not _same_bytes(buf, start, end, first[at]):  # two words of one hash in this block
+        data = buf.tobytes()
+        seen: dict[bytes, int] = {}
+        at = np.array([seen.setdefault(data[a:z], len(seen)) for a, z in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        first, times = np.unique(at, return_index=True)[1], np.bincount(at)
+    by = np.lexsort((first, -times))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return first[by], rank[at], times[by]
 
 
 def _encode(block_bytes: int):
-    """Blocks of documents: the hashes of a block's words, frequent ones first, and each word's place among them."""
+    """Blocks of documents: a block's distinct words, frequent ones first, and each word's number among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for piece in pieces(batches, "text", block_bytes):
-            h, first = _words(piece.column("text"))
-            known, at, times = np.unique(h, return_inverse=True, return_counts=True)
-            by = np.lexsort((known, -np.log2(times).astype(np.int64)))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
+            buf, off = utf8(piece.column("text"))
+            buf = LOWER[buf]
+            start, end, first = runs(~SPACE[buf], off)
+            place, words, counts = distinct_words(buf, start, end)
+            data = buf.tobytes()
+            known = b" ".join(data[a:z] for a, z in zip(start[place].tolist(), end[place].tolist(), strict=True))
             ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("id"))
             lengths = pa.array([np.diff(first).tolist()], pa.list_(pa.int64()))
-            packed = [pa.array([x], pa.binary()) for x in (_pack_sorted(known[by]), _pack(rank[at], 4))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(h)], pa.int64()), ids, lengths, *packed], ["block", "size", "ids", "lengths", "known", "words"])
+            packed = [pa.array([x], pa.binary()) for x in (_zip(known), _pack_counts(counts), _pack(words))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(words)], pa.int64()), ids, lengths, *packed], ["block", "size", "ids", "lengths", "known", "counts", "words"])
             number += 1
 
     return run
 
 
-BLOCK = "block long, size long, ids array<long>, lengths array<long>, known binary, words binary"
+BLOCK = "block long, size long, ids array<long>, lengths array<long>, known binary, counts binary, words binary"
 
 
-def _read(row) -> tuple[np.ndarray, np.ndarray]:
-    return _unpack_sorted(row["known"])[_unpack(row["words"], 4)], np.array(row["lengths"], np.int64)
+def _known(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """A block's words and their hashes."""
+    text = _unzip(data)
+    buf = np.frombuffer(text, np.uint8)
+    if not len(buf):
+        return pa.array([], pa.binary()), np.zeros(0, np.uint64)
+    cut = np.flatnonzero(buf == 0x20)
+    start, end = np.r_[0, cut + 1], np.r_[cut, len(buf)]
+    inside = np.delete(buf, cut)
+    off = np.r_[0, np.cumsum(end - start)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(inside)]), word_hashes(buf, start, end)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _by_part(part: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by part and then; the parts that occur; where each begins)."""
+    order = np.lexsort((*then[::-1], part))
+    edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(part) else np.zeros(0, np.int64)
+    return order, part[order][edge], np.r_[edge, len(part)]
+
+
+def _ask_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, h = _known(row["known"])
+            counts = _unpack_counts(row["counts"])
+            order, which, edge = _by_part((h % np.uint64(parts)).astype(np.int64))
+            rows = [
+                {"part": int(p), "block": row["block"], "words": _zip(b" ".join(words.take(pa.array(order[a:z])).to_pylist())), "counts": _pack_counts(counts[order[a:z]])}
+                for p, a, z in zip(which, edge[:-1], edge[1:], strict=True)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=ASKED)
+
+    return run
+
+
+ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+TOLD = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("numbers", pa.binary()), ("elsewhere", pa.binary())])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[list[dict]]:
+    """Rows come sorted by key; lists of those with equal ones."""
+    held: list[dict] = []
+    for row in _rows(batches):
+        if held and any(held[0][k] != row[k] for k in key):
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def _number_words(parts: int):
+    """One partition of the vocabulary: numbers by falling count, and how often each word stands in other blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "part"):
+            words = [_known(r["words"])[0] for r in rows]
+            coded = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
+            at, counts = coded.indices.to_numpy().astype(np.int64), np.concatenate([_unpack_counts(r["counts"]) for r in rows])
+            total = np.bincount(at, counts, minlength=len(coded.dictionary)).astype(np.int64)
+            by = pc.sort_indices(pa.table({"n": -total, "w": coded.dictionary}), [("n", "ascending"), ("w", "ascending")]).to_numpy()
+            number = np.empty(len(by), np.int64)
+            number[by] = rows[0]["part"] + parts * np.arange(len(by))
+            if len(by) and number.max() >= 1 << 32:
+                raise ValueError("over 2^32 numbers of words")
+            done = 0
+            for r, w in zip(rows, words, strict=True):
+                s = slice(done, done + len(w))
+                done += len(w)
+                out = {"part": r["part"], "block": r["block"], "numbers": _pack(number[at[s]]), "elsewhere": _pack_counts(total[at[s]] - counts[s])}
+                yield pa.RecordBatch.from_pylist([out], schema=TOLD)
+
+    return run
+
+
+def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their words' numbers in the corpus and counts in other blocks, in place of the words' text."""
+    for row in _rows(batches):
+        h = _known(row["known"])[1]
+        numbers, elsewhere = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        order, which, edge = _by_part((h % np.uint64(row["parts"])).astype(np.int64))
+        told = {t["part"]: t for t in row["told"] or []}
+        for p, a, z in zip(which.tolist(), edge[:-1], edge[1:], strict=True):
+            numbers[order[a:z]], elsewhere[order[a:z]] = _unpack(told[p]["numbers"]), _unpack_counts(told[p]["elsewhere"])
+        out = {k: row[k] for k in ("block", "ids", "lengths", "words")} | {"numbers": _pack(numbers), "elsewhere": _pack_counts(elsewhere)}
+        yield pa.RecordBatch.from_pylist([out], schema=NUMBERED_ARROW)
+
+
+NUMBERED = "block long, ids array<long>, lengths array<long>, words binary, numbers binary, elsewhere binary"
+NUMBERED_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("numbers", pa.binary()), ("elsewhere", pa.binary())])
 
 
 def _places(lengths: np.ndarray) -> np.ndarray:
@@ -83,131 +228,169 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n from 1 up: the places of words that end an n-gram inside their text, and the n-grams' keys of 64 bits."""
-    at = _places(lengths)
-    key = mix(words)
-    for n in range(1, order + 1):
-        if n > 1:
-            key = np.r_[np.zeros(1, np.uint64), mix(key[:-1] * STEP + words[1:])] if len(words) else key
-        place = np.flatnonzero(at >= n - 1)
-        yield n, place, key[place]
+class Gram:
+    """The distinct n-grams of a block: the places of words that end one, which of them each ends, and the words' numbers."""
 
+    def __init__(self, n: int, place: np.ndarray, which: np.ndarray, count: np.ndarray, columns: list[np.ndarray]):
+        self.n, self.place, self.which, self.count, self.columns = n, place, which, count, columns
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition's keys begin among sorted ones: keys are spread evenly, so each has an equal range of them."""
-    return np.r_[np.searchsorted(keys, np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)), len(keys)]
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = np.zeros(len(self.count), np.uint64)
+        for c in self.columns:
+            h = mix(h * STEP + c.astype(np.uint64))
+        return _by_part((h % np.uint64(parts)).astype(np.int64), *self.columns)
+
+
+def _grams(words: np.ndarray, lengths: np.ndarray, numbers: np.ndarray, elsewhere: np.ndarray, order: int) -> Iterator[Gram]:
+    """n-grams from 2 words up, inside a text, of words that other blocks hold, too; all others are this block's alone."""
+    at, size = _places(lengths), max(1, len(numbers))
+    shared = elsewhere[words] > 0 if len(words) else np.zeros(0, bool)
+    rank = words
+    run = shared.copy()  # of n words, all shared
+    for n in range(2, order + 1):
+        run[1:] &= run[:-1] & shared[1:]
+        run &= at >= n - 1
+        place = np.flatnonzero(run)
+        _, rep, which, count = np.unique(rank[place - 1] * size + words[place], return_index=True, return_inverse=True, return_counts=True)
+        rank = np.zeros(len(words), np.int64)
+        rank[place] = which
+        yield Gram(n, place, which, count, [numbers[words[place[rep] - k]] for k in range(n - 1, -1, -1)])
+
+
+def _block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _unpack(row["words"]), np.array(row["lengths"], np.int64), _unpack(row["numbers"]), _unpack_counts(row["elsewhere"])
 
 
 def _send(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                for n, _, key in _grams(*_read(row), order):
-                    keys, counts = np.unique(key, return_counts=True)
-                    cut = _cuts(keys, parts)
-                    rows = [
-                        {"part": p, "n": n, "block": row["block"], "keys": _pack_sorted(keys[cut[p] : cut[p + 1]]), "counts": _pack(counts[cut[p] : cut[p + 1]])}
-                        for p in np.flatnonzero(np.diff(cut)).tolist()
-                    ]
-                    yield pa.RecordBatch.from_pylist(rows, schema=SENT_ARROW)
+        for row in _rows(batches):
+            for g in _grams(*_block(row), order):
+                by, which, edge = g.dealt(parts)
+                rows = []
+                for p, a, z in zip(which.tolist(), edge[:-1], edge[1:], strict=True):
+                    first, *more = (c[by[a:z]] for c in g.columns)
+                    grams = _pack(np.concatenate([np.diff(first, prepend=0), *more]))  # sorted by the first word
+                    rows.append({"part": p, "n": g.n, "block": row["block"], "grams": grams, "counts": _pack_counts(g.count[by[a:z]])})
+                yield pa.RecordBatch.from_pylist(rows, schema=SENT_ARROW)
 
     return run
 
 
-SENT = "part int, n int, block long, keys binary, counts binary"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT = "part int, n int, block long, grams binary, counts binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+ANSWER = "part int, n int, block long, elsewhere binary"
+ANSWER_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("elsewhere", pa.binary())])
+
+
+def _count_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """One partition of one order's table: (total of each distinct n-gram, which one each row sent is, its count, rows' sizes)."""
+    n = rows[0]["n"]
+    sent = [_unpack(r["grams"]).reshape(n, -1) for r in rows]
+    which = np.concatenate([np.cumsum(s[0]) for s in sent])
+    for k in range(1, n):  # exact: the rank of the first words, then the next word's number
+        which = np.unique((which.astype(np.uint64) << np.uint64(32)) | np.concatenate([s[k] for s in sent]).astype(np.uint64), return_inverse=True)[1]
+    counts = np.concatenate([_unpack_counts(r["counts"]) for r in rows])
+    return np.bincount(which, counts).astype(np.int64), which, counts, [s.shape[1] for s in sent]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of the count tables: sums, and the totals of what each block asked for, in its order."""
-
-    def solve(rows):
-        keys = [_unpack_sorted(r["keys"]) for r in rows]
-        all_, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate([_unpack(r["counts"]) for r in rows])).astype(np.int64)
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
-            yield {"part": r["part"], "n": r["n"], "block": r["block"], "totals": _pack(total[back[at : at + len(k)]])}
-            at += len(k)
-
-    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("totals", pa.binary())])
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (held[0]["part"], held[0]["n"]) != (row["part"], row["n"]):
-                for r in solve(held):
-                    yield pa.RecordBatch.from_pylist([r], schema=schema)
-                held = []
-            held.append(row)
-    if held:
-        for r in solve(held):
-            yield pa.RecordBatch.from_pylist([r], schema=schema)
-
-
-def _own(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often the text that a key stands in holds it."""
-    order = np.lexsort((keys, doc))
-    k, d = keys[order], doc[order]
-    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(k)])
-    out = np.empty(len(k), np.int64)
-    out[order] = np.repeat(size, size)
-    return out
+    """The count table's join: for each n-gram that a block sent, how often the other blocks hold it, in the block's order."""
+    for rows in _groups(batches, "part", "n"):
+        total, which, counts, sizes = _count_table(rows)
+        elsewhere = total[which] - counts
+        done = 0
+        for r, size in zip(rows, sizes, strict=True):
+            yield pa.RecordBatch.from_pylist([{"part": r["part"], "n": r["n"], "block": r["block"], "elsewhere": _pack_counts(elsewhere[done : done + size])}], schema=ANSWER_ARROW)
+            done += size
+
+
+def _own(which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often the text that each n-gram stands in holds it."""
+    if not len(which):
+        return which
+    _, at, size = np.unique(doc * (int(which.max()) + 1) + which, return_inverse=True, return_counts=True)
+    return size[at]
 
 
 def _score(corpus_words: int, order: int, alpha: float):
     def one(row) -> tuple[np.ndarray, np.ndarray]:
-        words, lengths = _read(row)
+        words, lengths, numbers, elsewhere = _block(row)
         doc, at = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
-        answers: dict[int, list[np.ndarray]] = {}
-        for a in sorted(row["answers"] or [], key=lambda a: (a["n"], a["part"])):  # partitions hold rising ranges of keys
-            answers.setdefault(a["n"], []).append(_unpack(a["totals"]))
-        every = (corpus_words - lengths)[doc]
-        best = lower = np.zeros(len(words))  # lower: counts of the grams of one word less that end at each place
-        for n, place, key in _grams(words, lengths, order):
-            if not len(place):
-                break
-            count = np.concatenate(answers[n])[np.unique(key, return_inverse=True)[1]] - _own(key, doc[place])
-            seen = np.ones(len(place), bool) if n == 1 else count > 0
-            context = np.maximum(every, 1) if n == 1 else lower[place - 1]
-            # alpha once for each word of context that is there and goes unused
-            spare = np.minimum(order - 1, at[place]) - (n - 1)
-            best[place[seen]] = (np.log(np.maximum(count, 1)[seen]) - np.log(context[seen])) + np.log(alpha) * spare[seen]
-            lower = np.zeros(len(words), np.int64)
-            lower[place] = count
-        return lengths, np.bincount(doc, best, minlength=len(lengths))
+        answers = {(a["n"], a["part"]): a["elsewhere"] for a in row["answers"] or []}
+        # counts in all other documents, of n-grams that end at each place
+        count = (elsewhere + np.bincount(words, minlength=len(elsewhere)))[words] - _own(words, doc)
+        every = np.maximum(corpus_words - lengths, 1)[doc]
+        best = np.log(np.maximum(count, 1)) - np.log(every) + np.log(alpha) * np.minimum(order - 1, at)
+        alone = {n: c for n, c in _block_counts(words, lengths, order)}
+        for g in _grams(words, lengths, numbers, elsewhere, order):
+            by, which, edge = g.dealt(row["parts"])
+            other = np.zeros(len(g.count), np.int64)
+            for p, a, z in zip(which.tolist(), edge[:-1], edge[1:], strict=True):
+                other[by[a:z]] = _unpack_counts(answers[g.n, p])
+            lower, count = count, alone[g.n][1] - _own_at(alone[g.n], doc)
+            count[g.place] += other[g.which]
+            place = np.flatnonzero((at >= g.n - 1) & (count > 0))
+            spare = np.minimum(order - 1, at[place]) - (g.n - 1)  # alpha for each word of context that goes unused
+            best[place] = np.log(count[place]) - np.log(lower[place - 1]) + np.log(alpha) * spare
+        return lengths, np.bincount(doc, best, minlength=len(lengths)).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                lengths, score = one(row)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(score)], ["id", "n_words", "log_score"])
+        for row in _rows(batches):
+            lengths, score = one(row)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(score)], ["id", "n_words", "log_score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, parts: int | None = None) -> DataFrame:
+def _block_counts(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each n: (which n-gram of the block ends at each place, -1 for none; how often the block holds it, 0 for none)."""
+    at, size = _places(lengths), int(words.max()) + 1 if len(words) else 1
+    rank = words
+    for n in range(2, order + 1):
+        place = np.flatnonzero(at >= n - 1)
+        _, which, count = np.unique(rank[place - 1] * size + words[place], return_inverse=True, return_counts=True)
+        rank, times = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        rank[place], times[place] = which, count[which]
+        yield n, (rank, times)
+
+
+def _own_at(found: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> np.ndarray:
+    rank, _ = found
+    out = np.zeros(len(rank), np.int64)
+    place = np.flatnonzero(rank >= 0)
+    out[place] = _own(rank[place], doc[place])
+    return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, parts: int | None = None) -> DataFrame:
     """(id, n_words, log_score): sum over a text's words of the natural log of their stupid-backoff score.
 
-    Words are what stands between ASCII white space, A-Z lower-cased; every word counts, however rare, and the tables grow
-    with the corpus. The driver learns one number, how many words there are. A word's score is c(n-gram) / c(context) for its
-    longest n-gram of at most ``order`` words with c > 0, times ``alpha`` for each shorter step; for a single word c / N with
-    c at least 1. Counts are of all documents, less those of the text itself; n-grams are told apart by hashes of 64 bits.
-    Null and wordless texts have 0 words and score 0; repeated rows are documents of their own.
+    Words are what stands between ASCII white space, A-Z lower-cased; every word and n-gram counts, however rare, and the
+    tables grow with the corpus. The driver learns one number, how many words there are; from it come the partitions of the
+    tables, so that none sums more than about ``TASK_GRAMS`` n-grams of an order at once (``parts`` sets them). A word's score is
+    c(n-gram) / c(context) for its longest n-gram of at most ``order`` words with c > 0, times ``alpha`` for each shorter
+    step; for a single word c / N with c at least 1. Counts are of all documents, less those of the text itself.
+
+    Null, empty and wordless texts have 0 words and score 0; repeated rows and rows with null ids are documents of their own;
+    an empty table gives no rows; other columns, clashing names too, are left behind. There are no ties to break.
     """
     if order < 2:
         raise ValueError("n-grams of at least 2 words")
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    blocks, _ = materialize(docs.mapInArrow(_encode(block_bytes), BLOCK), "blocks")
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    sent = blocks.mapInArrow(_send(order, parts), SENT).repartition(parts, "part").sortWithinPartitions("part", "n")
-    answers = sent.mapInArrow(_answer, "part int, n int, block long, totals binary").groupBy("block").agg(F.collect_list(F.struct("part", "n", "totals")).alias("answers"))
-    return blocks.join(answers, "block", "left").mapInArrow(_score(total, order, alpha), "id long, n_words long, log_score double")
+    texts, texts_path = materialize(docs.mapInArrow(_encode(block_bytes), BLOCK), "blocks")
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_GRAMS))
+    asked = texts.select("block", "known", "counts").mapInArrow(_ask_words(parts), "part int, block long, words binary, counts binary")
+    told = asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_number_words(parts), "part int, block long, numbers binary, elsewhere binary")
+    told = told.groupBy("block").agg(F.collect_list(F.struct("part", "numbers", "elsewhere")).alias("told"))
+    named = texts.drop("size", "counts").join(told, "block", "left").withColumn("parts", F.lit(parts))
+    blocks, _ = materialize(named.mapInArrow(_renumber, NUMBERED), "numbered")
+    remove(spark, texts_path)
+    sent = blocks.drop("ids").mapInArrow(_send(order, parts), SENT).repartition(parts, "part").sortWithinPartitions("part", "n", "block")
+    answers = sent.mapInArrow(_answer, ANSWER).groupBy("block").agg(F.collect_list(F.struct("part", "n", "elsewhere")).alias("answers"))
+    joined = blocks.join(answers, "block", "left").withColumn("parts", F.lit(parts))
+    return joined.mapInArrow(_score(total, order, alpha), "id long, n_words long, log_score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
