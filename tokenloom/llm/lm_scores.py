@@ -70,35 +70,16 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return SpanHash(buf)(start, end)
 
 
-def _same_bytes(buf, start, end, other) -> bool:
-    """Whether each span holds the same bytes as the span that ``other`` names for it."""
-    size = end - start
-    if (size != size[other]).any():
-        return False
-    step = 1 << 18
-    for a in range(0, len(start), step):
-        s = slice(a, a + step)
-        inside = np.arange(int(size[s].sum())) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
-        if (buf[inside + np.repeat(start[s], size[s])] != buf[inside + np.repeat(start[other[s]], size[s])]).any():
-            return False
-    return True
-
-
-def distinct_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each distinct word, frequent ones first; each word's number among them; their counts), told apart by bytes."""
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    _, first, at, times = np.unique(word_hashes(buf, start, end), return_index=True, return_inverse=True, return_counts=True)
-    if not _same_bytes(buf, start, end, first[at]):  # two words of one hash in this block
-        data = buf.tobytes()
-        seen: dict[bytes, int] = {}
-        at = np.array([seen.setdefault(data[a:z], len(seen)) for a, z in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
-        first, times = np.unique(at, return_index=True)[1], np.bincount(at)
-    by = np.lexsort((first, -times))
+def distinct_words(inside: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the distinct words, frequent ones first; each word's number among them; their counts), told apart by their bytes."""
+    off = pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32))
+    coded = pa.Array.from_buffers(pa.binary(), len(size), [None, off, pa.py_buffer(inside)]).dictionary_encode()
+    at = coded.indices.to_numpy()
+    times = np.bincount(at, minlength=len(coded.dictionary))
+    by = np.argsort(-times, kind="stable")
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
-    return first[by], rank[at], times[by]
+    return coded.dictionary.take(pa.array(by)), rank[at], times[by]
 
 
 def _encode(block_bytes: int):
@@ -109,13 +90,12 @@ def _encode(block_bytes: int):
         for piece in pieces(batches, "text", block_bytes):
             buf, off = utf8(piece.column("text"))
             buf = LOWER[buf]
-            start, end, first = runs(~SPACE[buf], off)
-            place, words, counts = distinct_words(buf, start, end)
-            data = buf.tobytes()
-            known = b" ".join(data[a:z] for a, z in zip(start[place].tolist(), end[place].tolist(), strict=True))
+            inside = ~SPACE[buf]
+            start, end, first = runs(inside, off)
+            known, words, counts = distinct_words(buf[inside], end - start)
             ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("id"))
             lengths = pa.array([np.diff(first).tolist()], pa.list_(pa.int64()))
-            packed = [pa.array([x], pa.binary()) for x in (_zip(known), _pack_counts(counts), _pack(words))]
+            packed = [pa.array([x], pa.binary()) for x in (_zip(b" ".join(known.to_pylist())), _pack_counts(counts), _pack(words))]
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(words)], pa.int64()), ids, lengths, *packed], ["block", "size", "ids", "lengths", "known", "counts", "words"])
             number += 1
 
@@ -229,32 +209,52 @@ def _places(lengths: np.ndarray) -> np.ndarray:
 
 
 class Gram:
-    """The distinct n-grams of a block: the places of words that end one, which of them each ends, and the words' numbers."""
+    """The distinct n-grams of a block's texts: which of them ends at each place (-1: none) and which ones are shared.
 
-    def __init__(self, n: int, place: np.ndarray, which: np.ndarray, count: np.ndarray, columns: list[np.ndarray]):
-        self.n, self.place, self.which, self.count, self.columns = n, place, which, count, columns
+    ``count`` is how often the block holds each, ``own`` how often the text at each place does. Shared ones consist of words
+    that other blocks hold, too; the others can't occur elsewhere. ``columns`` are the numbers of the shared ones' words.
+    """
+
+    def __init__(self, n: int, key: np.ndarray, place: np.ndarray, doc: np.ndarray, words: np.ndarray, numbers: np.ndarray, shared: np.ndarray):
+        self.n, size = n, len(words)
+        order = np.argsort(key, kind="stable")  # places of an n-gram stay in order, so those of a text are together
+        k, d = key[order], doc[place[order]]
+        fresh = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+        edge = np.flatnonzero(fresh)
+        self.count = np.diff(np.r_[edge, len(k)])
+        self.which = np.full(size, -1, np.int64)
+        self.which[place[order]] = np.cumsum(fresh) - 1
+        edge_own = np.flatnonzero(fresh | np.r_[True, d[1:] != d[:-1]]) if len(k) else edge
+        times = np.diff(np.r_[edge_own, len(k)])
+        self.own = np.zeros(size, np.int64)
+        self.own[place[order]] = np.repeat(times, times)
+        last = place[order[edge]]
+        some = np.ones(len(last), bool)
+        for j in range(n):
+            some &= shared[words[last - j]]
+        self.shared = np.flatnonzero(some)
+        self.columns = [numbers[words[last[self.shared] - j]] for j in range(n - 1, -1, -1)]
 
     def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = np.zeros(len(self.count), np.uint64)
+        """The shared n-grams by partition and first word."""
+        h = np.zeros(len(self.shared), np.uint64)
         for c in self.columns:
             h = mix(h * STEP + c.astype(np.uint64))
-        return _by_part((h % np.uint64(parts)).astype(np.int64), *self.columns)
+        part = (h % np.uint64(parts)).astype(np.int64)
+        order = np.argsort((part << 32) | self.columns[0])
+        edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(part) else order
+        return order, part[order][edge], np.r_[edge, len(part)]
 
 
 def _grams(words: np.ndarray, lengths: np.ndarray, numbers: np.ndarray, elsewhere: np.ndarray, order: int) -> Iterator[Gram]:
-    """n-grams from 2 words up, inside a text, of words that other blocks hold, too; all others are this block's alone."""
-    at, size = _places(lengths), max(1, len(numbers))
-    shared = elsewhere[words] > 0 if len(words) else np.zeros(0, bool)
-    rank = words
-    run = shared.copy()  # of n words, all shared
+    """n-grams from 2 words up, inside a text; exact, as the rank of the first words goes into the next key."""
+    at, size, doc = _places(lengths), max(1, len(numbers)), np.repeat(np.arange(len(lengths)), lengths)
+    shared, rank = elsewhere > 0, words
     for n in range(2, order + 1):
-        run[1:] &= run[:-1] & shared[1:]
-        run &= at >= n - 1
-        place = np.flatnonzero(run)
-        _, rep, which, count = np.unique(rank[place - 1] * size + words[place], return_index=True, return_inverse=True, return_counts=True)
-        rank = np.zeros(len(words), np.int64)
-        rank[place] = which
-        yield Gram(n, place, which, count, [numbers[words[place[rep] - k]] for k in range(n - 1, -1, -1)])
+        place = np.flatnonzero(at >= n - 1)
+        g = Gram(n, rank[place - 1] * size + words[place], place, doc, words, numbers, shared)
+        rank = g.which
+        yield g
 
 
 def _block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +270,7 @@ def _send(order: int, parts: int):
                 for p, a, z in zip(which.tolist(), edge[:-1], edge[1:], strict=True):
                     first, *more = (c[by[a:z]] for c in g.columns)
                     grams = _pack(np.concatenate([np.diff(first, prepend=0), *more]))  # sorted by the first word
-                    rows.append({"part": p, "n": g.n, "block": row["block"], "grams": grams, "counts": _pack_counts(g.count[by[a:z]])})
+                    rows.append({"part": p, "n": g.n, "block": row["block"], "grams": grams, "counts": _pack_counts(g.count[g.shared[by[a:z]]])})
                 yield pa.RecordBatch.from_pylist(rows, schema=SENT_ARROW)
 
     return run
@@ -304,32 +304,25 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done += size
 
 
-def _own(which: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often the text that each n-gram stands in holds it."""
-    if not len(which):
-        return which
-    _, at, size = np.unique(doc * (int(which.max()) + 1) + which, return_inverse=True, return_counts=True)
-    return size[at]
-
-
 def _score(corpus_words: int, order: int, alpha: float):
     def one(row) -> tuple[np.ndarray, np.ndarray]:
         words, lengths, numbers, elsewhere = _block(row)
         doc, at = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
         answers = {(a["n"], a["part"]): a["elsewhere"] for a in row["answers"] or []}
         # counts in all other documents, of n-grams that end at each place
-        count = (elsewhere + np.bincount(words, minlength=len(elsewhere)))[words] - _own(words, doc)
+        single = Gram(1, words, np.arange(len(words)), doc, words, numbers, elsewhere > 0)
+        count = elsewhere[words] + single.count[single.which] - single.own
         every = np.maximum(corpus_words - lengths, 1)[doc]
         best = np.log(np.maximum(count, 1)) - np.log(every) + np.log(alpha) * np.minimum(order - 1, at)
-        alone = {n: c for n, c in _block_counts(words, lengths, order)}
         for g in _grams(words, lengths, numbers, elsewhere, order):
             by, which, edge = g.dealt(row["parts"])
-            other = np.zeros(len(g.count), np.int64)
+            total = g.count
             for p, a, z in zip(which.tolist(), edge[:-1], edge[1:], strict=True):
-                other[by[a:z]] = _unpack_counts(answers[g.n, p])
-            lower, count = count, alone[g.n][1] - _own_at(alone[g.n], doc)
-            count[g.place] += other[g.which]
-            place = np.flatnonzero((at >= g.n - 1) & (count > 0))
+                total[g.shared[by[a:z]]] += _unpack_counts(answers[g.n, p])
+            place = np.flatnonzero(g.which >= 0)
+            lower, count = count, np.zeros(len(words), np.int64)
+            count[place] = total[g.which[place]] - g.own[place]
+            place = np.flatnonzero(count > 0)
             spare = np.minimum(order - 1, at[place]) - (g.n - 1)  # alpha for each word of context that goes unused
             best[place] = np.log(count[place]) - np.log(lower[place - 1]) + np.log(alpha) * spare
         return lengths, np.bincount(doc, best, minlength=len(lengths)).astype(np.float64)
@@ -342,27 +335,7 @@ def _score(corpus_words: int, order: int, alpha: float):
     return run
 
 
-def _block_counts(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """For each n: (which n-gram of the block ends at each place, -1 for none; how often the block holds it, 0 for none)."""
-    at, size = _places(lengths), int(words.max()) + 1 if len(words) else 1
-    rank = words
-    for n in range(2, order + 1):
-        place = np.flatnonzero(at >= n - 1)
-        _, which, count = np.unique(rank[place - 1] * size + words[place], return_inverse=True, return_counts=True)
-        rank, times = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        rank[place], times[place] = which, count[which]
-        yield n, (rank, times)
-
-
-def _own_at(found: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> np.ndarray:
-    rank, _ = found
-    out = np.zeros(len(rank), np.int64)
-    place = np.flatnonzero(rank >= 0)
-    out[place] = _own(rank[place], doc[place])
-    return out
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, parts: int | None = None) -> DataFrame:
     """(id, n_words, log_score): sum over a text's words of the natural log of their stupid-backoff score.
 
     Words are what stands between ASCII white space, A-Z lower-cased; every word and n-gram counts, however rare, and the
