@@ -29,7 +29,7 @@ from .simhash import SPACE
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: n-grams of one order that a task sums at once, about.
-TASK_GRAMS = 3_000_000
+TASK_GRAMS = 2_000_000
 
 
 def _zip(data: bytes) -> bytes:
@@ -285,12 +285,23 @@ ANSWER_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.
 def _count_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """One partition of one order's table: (total of each distinct n-gram, which one each row sent is, its count, rows' sizes)."""
     n = rows[0]["n"]
-    sent = [_unpack(r["grams"]).reshape(n, -1) for r in rows]
-    which = np.concatenate([np.cumsum(s[0]) for s in sent])
+    columns: list[list[np.ndarray]] = [[] for _ in range(n)]
+    for r in rows:
+        sent = _unpack(r["grams"]).reshape(n, -1)
+        for k in range(n):
+            columns[k].append((np.cumsum(sent[0]) if k == 0 else sent[k]).astype(np.uint32))
+    sizes = [len(c) for c in columns[0]]
+    which = np.concatenate(columns[0])
     for k in range(1, n):  # exact: the rank of the first words, then the next word's number
-        which = np.unique((which.astype(np.uint64) << np.uint64(32)) | np.concatenate([s[k] for s in sent]).astype(np.uint64), return_inverse=True)[1]
+        key = which.astype(np.uint64) << np.uint64(32)
+        key |= np.concatenate(columns[k])
+        columns[k] = []
+        order = np.argsort(key)
+        key = key[order]
+        which = np.empty(len(key), np.uint32)
+        which[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.uint32) if len(key) else 0
     counts = np.concatenate([_unpack_counts(r["counts"]) for r in rows])
-    return np.bincount(which, counts).astype(np.int64), which, counts, [s.shape[1] for s in sent]
+    return np.bincount(which, counts).astype(np.int64), which, counts, sizes
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
