@@ -42,6 +42,19 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def materialize_by(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """materialize() in buckets of a column: later joins on it with as many partitions don't move these rows again.
+
+    Buckets are a table's property, so the catalog knows the table by a name of its own while it is read; the files stay.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"tokenloom_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found, path
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under our own names; extra columns, clashing ones too, are left behind.
 

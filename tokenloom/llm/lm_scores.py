@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SpanHash, mix, pieces, runs, utf8
-from ._spark import materialize, pick, remove
+from ._spark import materialize, materialize_by, pick, remove
 from .simhash import SPACE
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -369,7 +369,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     told = asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_number_words(parts), "part int, block long, numbers binary, elsewhere binary")
     told = told.groupBy("block").agg(F.collect_list(F.struct("part", "numbers", "elsewhere")).alias("told"))
     named = texts.drop("size", "counts").join(told, "block", "left").withColumn("parts", F.lit(parts))
-    blocks, _ = materialize(named.mapInArrow(_renumber, NUMBERED), "numbered")
+    blocks, _ = materialize_by(named.mapInArrow(_renumber, NUMBERED), "numbered", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     remove(spark, texts_path)
     sent = blocks.drop("ids").mapInArrow(_send(order, parts), SENT).repartition(parts, "part").sortWithinPartitions("part", "n", "block")
     answers = sent.mapInArrow(_answer, ANSWER).groupBy("block").agg(F.collect_list(F.struct("part", "n", "elsewhere")).alias("answers"))
