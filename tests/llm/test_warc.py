@@ -15,14 +15,16 @@ def test_loser_tree():
 def pages():
     big = "<p>" + "é" * 600 + "</p>"
     rows = [(i, f"http://www.A{i % 3}.example.com/x{i % 2}?q={i}", big if i % 4 == 0 else f"<p>{i}\r\n\r\nWARC/1.1\r\n</p>" * i) for i in range(40)]
-    return [*rows, (40, None, None), (41, "no url\r\nX: y", ""), (42, "http://b/", "s" * 999), (43, "http://b/", "s" * 999), (44, "http://[bad", "t" * 1000), (45, "http://b/", "t" * 1000), (45, "http://b/", "t" * 1000)]
+    return [*rows, (40, None, None), (41, "no url\r\nX: y", ""), (42, "http://b/", "s" * 999), (43, "http://b/", "s" * 999), (44, "http://[bad", "t" * 1000), (45, "http://b/", "t" * 1000), (45, "http://b/", "t" * 1000), (46, "http://long/", "漢" * 100_000)]
 
 
-@pytest.mark.parametrize("file_records", [4000, 7])
-def test_round_trip(spark, tmp_path, file_records):
+@pytest.mark.parametrize("file_bytes", [32 << 20, 20_000])
+def test_round_trip(spark, tmp_path, file_bytes):
     rows = pages()
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
-    warc.write_warc(df, f"{tmp_path}/w", file_records=file_records)
+    warc.write_warc(df, f"{tmp_path}/w", file_bytes=file_bytes)
+    sizes = [(f.stat().st_size, f.read_bytes().count(b"WARC/1.1\r\nWARC-Type")) for f in (tmp_path / "w").glob("*/*.txt")]
+    assert sizes and all(n == 1 or size <= file_bytes for size, n in sizes)
     runs = warc.capture_runs(spark, f"{tmp_path}/w")
     got = warc.merge_runs(runs).collect()
     order = [(r.urlkey, r.captured, r.id) for r in got]
@@ -47,3 +49,18 @@ def test_url_keys():
     assert warc.url_key("https://www.Example.com:443/A?b=C") == "com,example)/a?b=c"
     assert warc.url_key("http://m.x.org:8080") == "org,x,m:8080)/"
     assert warc.url_key("not a url") == "not a url"
+
+
+def test_one_url_and_repeated_rows_take_several_ranges(spark, tmp_path):
+    rows = [(i // 2, "http://one/", f"p{i // 2}") for i in range(600)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"{tmp_path}/w")
+    merged = warc.merge_runs(warc.capture_runs(spark, f"{tmp_path}/w"), task_rows=50)
+    assert merged.rdd.getNumPartitions() == 12
+    assert [r.id for r in merged.collect()] == [i // 2 for i in range(600)]
+    assert max(merged.rdd.glom().map(len).collect()) < 200
+
+
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a/", "x", "y"), (2, "http://b/", None, "z")], "page_id long, url string, html string, HTML string")
+    warc.write_warc(df, f"{tmp_path}/w")
+    assert [r.payload_bytes for r in warc.merge_runs(warc.capture_runs(spark, f"{tmp_path}/w")).collect()] == [1, 0]

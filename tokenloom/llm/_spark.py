@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, a single machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "tokenloom-scratch")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,9 +64,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """
     names = df.columns
     if len({n.lower() for n in names}) < len(names):
-        keep = {names.index(c): new for new, c in columns.items()}
         df = df.toDF(*[f"_c{i}" for i in range(len(names))])
-        return df.select(*[F.col(f"_c{i}").alias(new) for i, new in keep.items()])
+        return df.select(*[F.col(f"_c{names.index(c)}").alias(new) for new, c in columns.items()])
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
 
 
@@ -89,3 +90,10 @@ def carry_columns(piece: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Deal rows out by a key with the session's number of shuffle partitions; AQE may merge small ones, never split a key."""
     return df.repartition(*keys)
+
+
+def partitions_for(df: DataFrame, most_bytes: int) -> int:
+    """As many partitions as keep each at about ``most_bytes`` of what Spark expects df to read, the session's number at least."""
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(fewest, -(-expected // most_bytes)) if expected < 1 << 60 else fewest  # plans of unknown size count as endless

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +16,32 @@ from ._spark import carried, carry_columns, materialize, pick, pick_carry
 #: Bytes of words: digits, lower-case letters and all that isn't ASCII.
 WORD = np.ones(256, bool)
 WORD[:0x30] = WORD[0x3A:0x61] = WORD[0x7B:0x80] = False
-WORD_RE = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks sent with one scan of the documents.
+SCAN_BLOCKS = 8
 
 
 class Phrases:
-    """The distinct windows of one block of benchmark items, with word numbers from 1 up."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        lower = bytes(LOWER)
-        numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = [numbers.setdefault(w, len(numbers) + 1) for w in WORD_RE.findall((text or "").encode().translate(lower))]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.words = [b"", *numbers]
-        self.items = sorted({i for s in found.values() for i in s})
-        at = {i: k for k, i in enumerate(self.items)}
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.word = np.zeros((len(found), max(map(len, found), default=0)), np.int64)
-        for k, p in enumerate(found):
-            self.word[k, : len(p)] = p
-        self.item_start = np.cumsum([0, *(len(s) for s in found.values())])
-        self.item = np.array([at[i] for s in found.values() for i in sorted(s)], np.int64)
+    """The windows of one block of benchmark items, as places in the items' words; words have numbers from 1 up.
+
+    All of it is a few arrays, together about four times the block's text.
+    """
+
+    def __init__(self, items: list[str], texts: pa.Array, window: int):
+        buf, off = utf8(texts)
+        buf = LOWER[buf]
+        inside = WORD[buf]
+        start, end, first = runs(inside, off)
+        offsets = pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets, pa.py_buffer(buf[inside])]).dictionary_encode()
+        self.words = [b"", *coded.dictionary.to_pylist()]
+        self.sequence = coded.indices.to_numpy().astype(np.int32) + 1
+        words = np.diff(first)
+        n = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+        self.start = (np.arange(int(n.sum())) + np.repeat(first[:-1] - np.cumsum(n) + n, n)).astype(np.int32)
+        self.length = np.repeat(np.minimum(words, window), n).astype(np.int32)
+        self.items, item = np.unique(np.array(items, object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.item = np.repeat(item, n).astype(np.int32)
         joined = np.frombuffer(b"".join(self.words), np.uint8)
         ends = np.cumsum([len(w) for w in self.words])
         hashes = SpanHash(joined)(np.r_[0, ends[:-1]], ends)[1:] if len(self.words) > 1 else np.zeros(0, np.uint64)
@@ -48,6 +50,10 @@ class Phrases:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
+    def word(self, which: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th word of each of these windows."""
+        return self.sequence[self.start[which] + k].astype(np.int64)
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, 0 for words of no window."""
         out = np.zeros(len(hashes), np.int64)
@@ -114,12 +120,14 @@ class FMIndex:
     def step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         return self.less[symbol] + self.ranks.rank(symbol, place)
 
-    def search(self, word: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that start with each phrase."""
-        low, high = np.zeros(len(word), np.int64), np.full(len(word), self.n, np.int64)
-        for k in range(1, word.shape[1] + 1):
+    def search(self, word: Callable[[np.ndarray, np.ndarray], np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that start with each phrase; ``word`` gives the k-th words of phrases."""
+        low, high = np.zeros(len(length), np.int64), np.full(len(length), self.n, np.int64)
+        for k in range(1, int(length.max(initial=0)) + 1):
             go = np.flatnonzero((length >= k) & (low < high))
-            symbol = word[go, length[go] - k]
+            if not len(go):
+                break
+            symbol = word(go, length[go] - k)
             low[go], high[go] = self.step(symbol, low[go]), self.step(symbol, high[go])
         return low, high
 
@@ -135,20 +143,18 @@ class FMIndex:
         return out
 
 
-def shard_hits(phrases: Phrases, buf: np.ndarray, off: np.ndarray):
-    """Word bounds and first words of one shard's documents; (word, length, phrase) of every occurrence of a window."""
-    buf = LOWER[buf]
-    start, end, first = runs(WORD[buf], off)
+def shard_hits(phrases: Phrases, buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, hashes: np.ndarray):
+    """(word, length, phrase) of every occurrence of a window in one shard's words, which have these bounds and hashes."""
     none = np.zeros(0, np.int64)
     if not len(start) or not len(phrases.length):
-        return start, end, first, none, none, none
-    number = phrases.numbers(SpanHash(buf)(start, end))
+        return none, none, none
+    number = phrases.numbers(hashes)
     # Only runs of benchmark words as long as the shortest window can hold one; all others stay out of the index.
     a, b, _ = runs(number > 0, first)
     long = b - a >= phrases.length.min()
     a, b = a[long], b[long]
     if not len(a):
-        return start, end, first, none, none, none
+        return none, none, none
     size = b - a + 1
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
     seq = number[np.minimum(place, len(number) - 1)]
@@ -160,7 +166,7 @@ def shard_hits(phrases: Phrases, buf: np.ndarray, off: np.ndarray):
     row = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
     word = place[index.locate(row)]
     # Word numbers came from 64-bit hashes; hold the words found against the windows' words.
-    length = phrases.length[which]
+    length = phrases.length[which].astype(np.int64)
     held = np.unique(np.repeat(word, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length))
     data = buf.tobytes()
     wrong = [w for w in held.tolist() if data[start[w] : end[w]] != phrases.words[number[w]]]
@@ -170,26 +176,39 @@ def shard_hits(phrases: Phrases, buf: np.ndarray, off: np.ndarray):
         bad = np.cumsum(bad)
         good = bad[word + length] == bad[word]
         word, length, which = word[good], length[good], which[good]
-    return start, end, first, word, length, which
+    return word, length, which
 
 
-def _scan(phrases: Phrases, shard_bytes: int):
+def _scan(blocks: Sequence[Broadcast], shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([*phrases.items, ""], pa.string())
+        names: list[str] = []
+        starts: list[int] = []
+        for block in blocks:
+            starts.append(len(names))
+            names += block.value.items.tolist()
+        all_names, width = pa.array([*names, ""], pa.string()), len(names) + 1
         for piece in pieces(batches, "text", shard_bytes):
             buf, off = utf8(piece.column("text"))
-            start, end, first, word, length, which = shard_hits(phrases, buf, off)
+            buf = LOWER[buf]
+            start, end, first = runs(WORD[buf], off)
+            hashes = SpanHash(buf)(start, end) if len(start) else np.zeros(0, np.uint64)
             docs = piece.num_rows
             cover = np.zeros(len(start) + 1, np.int64)
-            np.add.at(cover, word, 1)
-            np.add.at(cover, word + length, -1)
+            pairs = [np.zeros(0, np.int64)]
+            for block, at in zip(blocks, starts, strict=True):
+                word, length, which = shard_hits(block.value, buf, start, end, first, hashes)
+                np.add.at(cover, word, 1)
+                np.add.at(cover, word + length, -1)
+                of = np.searchsorted(first, word, "right") - 1
+                pairs.append(np.unique(of * width + block.value.item[which] + at))
             hit = np.cumsum(cover)[:-1] > 0
             a, b, span_first = runs(hit, first)
-            of = np.searchsorted(first, word, "right") - 1
-            n = phrases.item_start[which + 1] - phrases.item_start[which]
-            item = phrases.item[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(phrases.item_start[which], n)]
-            pair = np.unique(np.repeat(of, n) * (len(phrases.items) + 1) + item)
-            item_off = np.searchsorted(pair, np.arange(docs + 1) * (len(phrases.items) + 1))
+            pair = np.concatenate(pairs)
+            doc = pair // width
+            item = all_names.take(pa.array(pair % width)).to_pylist()
+            order = sorted(range(len(pair)), key=lambda i: (doc[i], item[i]))
+            order = [i for k, i in enumerate(order) if not k or (doc[i], item[i]) != (doc[order[k - 1]], item[order[k - 1]])]
+            item_off = np.searchsorted(doc[order], np.arange(docs + 1))
             base = off[np.searchsorted(first, a, "right") - 1]
             doc_first = first[np.searchsorted(first, a, "right") - 1]
             spans = pa.StructArray.from_arrays(
@@ -202,7 +221,7 @@ def _scan(phrases: Phrases, shard_bytes: int):
                     piece.column("id"),
                     pa.array(np.diff(first)),
                     pa.ListArray.from_arrays(pa.array(span_first.astype(np.int32)), spans),
-                    pa.ListArray.from_arrays(pa.array(item_off.astype(np.int32)), names.take(pa.array(pair % (len(phrases.items) + 1)))),
+                    pa.ListArray.from_arrays(pa.array(item_off.astype(np.int32)), pa.array([item[i] for i in order], pa.string())),
                     *more,
                 ],
                 ["id", "n_words", "spans", "items", *names_more],
@@ -218,30 +237,35 @@ SCHEMA = f"id long, n_words long, spans {SPANS}, items array<string>"
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = BLOCK_BYTES,
-    carry: Sequence[str] = (),
+    scan_blocks: int = SCAN_BLOCKS, carry: Sequence[str] = (),
 ) -> DataFrame:
     """(id, n_words, spans, items, carry if asked for): merged spans of words, and bytes, inside any occurrence of a window of the benchmark.
 
     No shuffle: each task indexes its shards of whole documents and searches them for the windows it was sent. These are
-    sent in blocks of at most ``block_bytes`` of benchmark text (one item at least); with more than one block the rows are
-    numbered, written once, and the spans of each row merged by its number. Null and wordless texts have no words, null or wordless items no windows; items
+    broadcast in blocks of at most ``block_bytes`` of benchmark text (one item at least), ``scan_blocks`` of them with each scan
+    of the documents. With more blocks than that the rows are numbered, written once, scanned several times, and the spans of
+    each row merged by its number. Null and wordless texts have no words, null or wordless items no windows; items
     are named by their ids as text (null: empty), and items that share an id are one. Each row gives a row, whatever its
-    id. Empty tables are fine on either side.
+    id, repeated rows too; shards end between documents, so a very long text is one shard. Empty tables are fine on either
+    side; other columns, clashing names too, are left behind. There are no ties to break.
     """
     docs = pick_carry(docs, carry, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text")
     items = items.filter("text is not null").withColumn("size", F.octet_length("text").cast("long"))
     total = items.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n > 1:
+    if n > scan_blocks:
         numbered, _ = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
         docs = numbered.select(F.col("row").alias("id"), "text")
-    found = []
+    context, found, sent = docs.sparkSession.sparkContext, [], []
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = [(r.item, r.text) for r in block.select("item", "text").toLocalIterator()]
-        found.append(docs.mapInArrow(_scan(Phrases(rows, window), shard_bytes), carried(docs, SCHEMA)))
-    if n == 1:
+        rows = block.select("item", "text").toArrow()
+        sent.append(context.broadcast(Phrases(rows.column("item").to_pylist(), rows.column("text").combine_chunks(), window)))
+        if len(sent) == scan_blocks or k == n - 1:
+            found.append(docs.mapInArrow(_scan(sent, shard_bytes), carried(docs, SCHEMA)))
+            sent = []
+    if len(found) == 1:
         return found[0]
     union = found[0]
     for f in found[1:]:

@@ -68,13 +68,29 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(capacity: int, slack: int, last: bool):
-    """Pack one partition's items; bins with at most ``slack`` room are done, and all are in the last round."""
+def _slabs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            piece = batch.slice(i, most)
+            if held and rows + piece.num_rows > most:
+                yield held
+                held, rows = [], 0
+            held.append(piece)
+            rows += piece.num_rows
+    if held:
+        yield held
+
+
+def _round(capacity: int, slack: int, last: bool, most: int):
+    """Pack one partition's items, ``most`` at a time; bins with at most ``slack`` room are done, and all are in the last round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+        for got in _slabs(batches, most):
+            yield from pack_slab(got)
+
+    def pack_slab(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(got).combine_chunks()
         used, members = table.column("used").to_numpy(), table.column("members").combine_chunks()
         off, flat = members.offsets.to_numpy().astype(np.int64), members.values
@@ -113,9 +129,11 @@ def pack(items: DataFrame, capacity: int, slack: int = 4, fan_in: int = 8, task_
     """Pieces (id, piece, start, length, crc) -> the same with ``bin`` and ``offset``: bins of at most ``capacity``.
 
     Pieces as long as a bin are bins. The others are packed by partition; bins with more than ``slack`` room go on as
-    items to a round on ``fan_in`` times fewer partitions, and so on up the tree. No task gets more than about
-    ``task_items``: where more are left over for the last one, rounds of that many go on as long as they save a bin in
-    200. Ids need not be distinct. No pieces give no rows.
+    items to a round on ``fan_in`` times fewer partitions, and so on up the tree. A task packs at most ``task_items``
+    items at once: a larger split of the first round is packed in slabs of that many, and where more are left over for the
+    last round, rounds of several tasks go on as long as they save a bin in 200. Of equal sizes the smaller id, then the
+    smaller piece, is placed first, null ids before all; of equally good bins the latest takes it. Ids need not be
+    distinct. No pieces give no rows.
     """
     whole = items.filter(F.col("length") >= capacity)
     part = items.filter(F.col("length") < capacity)
@@ -125,7 +143,7 @@ def pack(items: DataFrame, capacity: int, slack: int = 4, fan_in: int = 8, task_
     left = before = parts = None
     while True:
         last = parts == 1 or (parts is not None and before is not None and left > before * 0.995)
-        after, next_path = materialize(now.mapInArrow(_round(capacity, slack, last), BIN), "bins")
+        after, next_path = materialize(now.mapInArrow(_round(capacity, slack, last, 2 * task_items), BIN), "bins")
         packed.append(after.filter("done").select("members"))
         if last:
             break
@@ -147,7 +165,11 @@ def pack(items: DataFrame, capacity: int, slack: int = 4, fan_in: int = 8, task_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole texts as token ids with an end id, packed into as few sequences as best fit can. Null texts are an end id alone."""
+    """Whole texts as token ids with an end id, packed into as few sequences as best fit can: see ``pack``.
+
+    Null and empty texts are an end id alone; texts of more than ``capacity`` ids, however long, are cut; repeated rows are
+    documents of their own; an empty table gives no rows; other columns, clashing names too, are left behind.
+    """
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     items, _ = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
     return pack(items, capacity)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import pieces
-from ._spark import new_path, pick
+from ._spark import new_path, partitions_for, pick
 from .encoding import encoder, with_end
 
 SCHEMA = "id long, part int, local_start long, ids array<int>"
@@ -27,13 +27,15 @@ def tokenizer_path(name: str) -> str:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    drops_space: bool = True, stripe_bytes: int = 16 << 20, stride: int = 1000,
+    drops_space: bool = True, stripe_bytes: int = 16 << 20, stride: int = 1000, range_bytes: int = 64 << 20,
 ) -> None:
     """Encode every whole text, append ``end_id``, and write ORC files in ascending order of id (null ids first).
 
     Documents are dealt out by ranges of ids and sorted before they are encoded, so text moves once and ids never. Each
-    row holds its id, the number of its range, its start among that range's ids, and the ids. Null texts are empty;
-    repeated rows are written as often as they come.
+    row holds its id, the number of its range, its start among that range's ids, and the ids. There are as many ranges as
+    keep each at about ``range_bytes`` of input. Rows that share an id, null or not, come in order of a hash of their text and may
+    take several ranges. Null texts are empty; repeated rows are written as often as they come; an empty table gives no
+    rows; other columns, clashing names too, are left behind. A very long text is one row, encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,8 @@ def write_tokens(
             at += int(off[-1])
 
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    rows = docs.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, SCHEMA)
+    ranges, docs = partitions_for(docs, range_bytes), docs.withColumn("tie", F.xxhash64("text"))
+    rows = docs.repartitionByRange(ranges, "id", "tie").sortWithinPartitions("id", "tie", "text").drop("tie").mapInArrow(run, SCHEMA)
     options = {"orc.bloom.filter.columns": "id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_bytes)}
     rows.write.options(**options).orc(path)
 

@@ -238,7 +238,7 @@ def fold(id_col):
 
 
 def trained(spark, sf_dir: str, docs: DataFrame | None = None) -> Model:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = pick(spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_id="doc_id", toxic="toxic")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     return fit(docs, labels.filter(fold(F.col("doc_id")) != 0))
 

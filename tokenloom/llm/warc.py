@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ._spark import materialize, new_path, pick
 
 END = "\r\n\r\n"
+#: Upper bounds of the classes of record size; longer ones are the last class.
+CLASSES = [1 << k for k in (14, 17, 20, 23, 26)]
 RUN = "run long, seq long, urlkey string, captured string, id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, record_offset long, record_length long"
 COLUMNS = [c.split()[0] for c in RUN.split(", ")]
 RECORD_ID = re.compile(rb"<urn:x-capture:(-?\d+)>")
@@ -49,20 +51,26 @@ def record_text(least_revisit: int):
     )
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured=None, least_revisit: int = 1000, file_records: int = 4000) -> None:
-    """One record for each row, payload the html in UTF-8 (null: empty), in files of at most ``file_records`` records.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured=None, least_revisit: int = 1000, file_bytes: int = 32 << 20) -> None:
+    """One record for each row, payload the html in UTF-8 (null: empty), in files of at most ``file_bytes``, or one longer record.
+
+    Records are written by classes of size, a folder each, as many to a file as fit if all were the class's longest.
 
     Of rows with equal payloads of at least ``least_revisit`` bytes, the one with the largest id is a response (each, if
     that id repeats) and the others revisit it. Rows with a null id are responses. ``captured`` gives seconds since 1970;
     without it they are the ids after 2020-01-01. The files are written by Spark's text writer, whose separator is
     the end of a record, so they go to any store. Equal payloads are found by pre-aggregated digests; the pages move
-    only if the digests that occur twice are too many to send to all.
+    only if the digests that occur twice are too many to send to all. An empty table gives an empty folder; other columns,
+    clashing names too, are left behind.
     """
     pages = pick(pages, id=id_col, url=url_col, html=html_col) if captured is None else pick(pages, id=id_col, url=url_col, html=html_col, captured=captured)
     pages = pages.withColumn("id", F.col("id").cast("long")).withColumn("html", F.coalesce("html", F.lit("")))
     if captured is None:
         pages = pages.withColumn("captured", F.lit(1577836800) + F.coalesce("id", F.lit(0)))
     pages = pages.withColumn("size", F.octet_length("html")).withColumn("digest", F.sha1("html"))
+    # headers and what stands between records take less than 1500 bytes, and two addresses of at most three bytes for each
+    longest = F.max(F.coalesce(F.octet_length("url"), F.lit(0)))
+    room = F.col("size") + 6 * F.coalesce(F.octet_length("url"), F.lit(0)).cast("long") + 1500 + F.lit(3 * (pages.agg(longest).first()[0] or 0))
     groups = pages.filter((F.col("size") >= least_revisit) & F.col("id").isNotNull()).groupBy("digest", "size")
     twice, _ = materialize(
         groups.agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("top")).filter("n > 1").select("digest", "size", F.col("top.id").alias("first"), F.col("top.url").alias("first_url")),
@@ -72,7 +80,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         rows = pages.withColumn("first", F.lit(None).cast("long")).withColumn("first_url", F.lit(None).cast("string"))
     else:
         rows = pages.join(twice, ["digest", "size"], "left")
-    rows.select(record_text(least_revisit).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    top = F.lit(len(CLASSES)) - sum((room <= F.lit(c)).cast("int") for c in CLASSES)
+    found = {r.k: r.most for r in pages.groupBy(top.alias("k")).agg(F.max(room).alias("most")).collect()}  # a row for each class
+    for k, most in (found or {0: 1}).items():
+        of_class = rows.filter(top == k).select(record_text(least_revisit).alias("value"))
+        of_class.write.option("lineSep", END).option("maxRecordsPerFile", max(1, file_bytes // most)).text(f"{path}/{k}")
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes], bytes]]:
@@ -106,7 +118,8 @@ def url_key(url: str) -> str:
 
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Read archives back: one run of captures for each file, sorted by URL key, time and id."""
+    """Read archives back: one run of captures for each file, sorted by URL key, time and id. A file is read whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -130,7 +143,8 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(COLUMNS, (number, i, *r), strict=True)) for i, r in enumerate(rows)], schema=ARROW)
                 number += 1
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RUN)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, RUN)
 
 
 ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split() for c in RUN.split(", "))])
@@ -177,12 +191,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from merged.to_batches(max_chunksize=20_000)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, task_rows: int = 200_000) -> DataFrame:
     """All captures in order of URL key, time and id: each task takes a range of that order from every run and merges the pieces.
 
-    Ranges run over time and id as well, so that the captures of one very frequent URL are several tasks' work.
+    Ranges run over time, id and place as well, so that the captures of one very frequent URL, or even repeats of one
+    row, are several tasks' work; there are as many as keep each at about ``task_rows``. Null ids come first; equal
+    captures keep the order of their runs. No runs give no rows.
     """
-    return runs.repartitionByRange("urlkey", "captured", "id").mapInArrow(_merge, RUN)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // task_rows))
+    return runs.repartitionByRange(ranges, "urlkey", "captured", "id", "file", "record_offset").mapInArrow(_merge, RUN)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
