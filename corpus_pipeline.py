@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and returns a DataFrame; ``run`` writes
 each one's result as Parquet in the shared folder and reads it again for the next.
+
+In every stage null and empty texts are texts without words (kept by all), null ids are ids like others, repeated rows are
+documents of their own, an empty table gives no rows, and other columns, clashing names too, are left behind.
 """
 
 from __future__ import annotations
@@ -12,26 +15,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from tokenloom.llm._spark import materialize
+from tokenloom.llm._spark import materialize, pick
 from tokenloom.llm.token_files import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity operator scores 0.5 or more."""
+    """Without the documents that the toxicity operator scores 0.5 or more; a score of just 0.5 goes."""
     found = toxicity.score(docs, toxicity.trained(spark, sf_dir, docs), carry=COLUMNS)
     return found.filter("score < 0.5").select("carry.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates only the document of least id; documents without an id stay, too."""
-    others = simhash.near_duplicates(docs).filter("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.select(COLUMNS).join(others.distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near-duplicates one row: that of the least id (null ids last), the first of those that share it.
+
+    Rows are numbered and written first, so each is decided on by its own number, whatever its id. Texts without words
+    are near-duplicates of each other.
+    """
+    numbered, _ = materialize(pick(docs, **{c: c for c in COLUMNS}).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(numbered, id_col="row").select(F.col("id").alias("row"), "component")
+    groups = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    members = numbered.select("row", "doc_id").join(found.join(groups.select("component"), "component"), "row")
+    members, _ = materialize(members, "groups")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept"))
+    others = members.join(first, "component").filter("row <> kept.row").select("row")
+    return numbered.join(others, "row", "left_anti").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 100-byte strings, halves of characters dropped, too; documents with nothing left go."""
+    """Texts without the bytes of repeated 100-byte strings, halves of characters dropped, too; documents with nothing left go.
+
+    Of equal strings the one in the row of the least id stays, null ids before all, as the operator has it.
+    """
     found = suffix_dedup.dedup(docs, as_text=True, carry=COLUMNS)
     touched = F.size("spans") > 0
     text = F.when(touched, F.col("kept")).otherwise(F.col("carry.text"))
@@ -46,7 +62,7 @@ def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: one row for each piece of a document."""
+    """Token sequences of at most 2048 ids: one row for each piece of a document; a text without words is an end id."""
     found = packing.pack_documents(docs, tokenizer_path(packing.TOKENIZER))
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
