@@ -50,3 +50,43 @@ def test_each_stage_against_brute_force(spark):
 @pytest.mark.parametrize("name", ["pipeline"])
 def test_registered(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
+
+
+def edge_docs(spark, kind):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "abc def ghi jkl mno " * 30_000
+    rows = {
+        "nulls": [(1, None, None, None, None), (None, "some words of a text", "en", "s", 20), (None, None, None, None, None)],
+        "empty texts": [(1, "", "en", "s", 0), (2, " ", "en", "s", 1), (3, "words", "en", "s", 5)],
+        "very long": [(1, long, "en", "s", len(long)), (2, "short", "en", "s", 5)],
+        "ties and repeats": [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (1, "quite another text here", "en", "s", 23), (None, "a b c d e", "en", "s", 9)],
+        "empty table": [],
+    }
+    if kind == "clashing names":
+        return spark.createDataFrame([(1, "a b c d", "en", "s", 7, "x", 5)], schema + ", Text string, id int")
+    return spark.createDataFrame(rows[kind], schema)
+
+
+KINDS = ["nulls", "empty texts", "very long", "ties and repeats", "empty table", "clashing names"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_edges_of_each_stage(spark, kind):
+    for name, stage in C.STAGES:
+        docs = edge_docs(spark, kind)
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        if name == "best-fit packing":
+            assert sum(r.start == 0 for r in rows) == docs.count()
+            continue
+        assert got.columns == C.COLUMNS
+        texts = sorted((r.doc_id or -1, r.text or "") for r in rows)
+        if name.startswith("simhash"):
+            want = {
+                "nulls": [(-1, "some words of a text"), (1, "")], "empty texts": [(1, ""), (3, "words")], "ties and repeats": [(1, "a b c d e"), (1, "quite another text here")],
+            }.get(kind, sorted((r.doc_id or -1, r.text or "") for r in docs.collect()))
+            assert texts == want
+        elif name.startswith("suffix") and kind == "very long":
+            assert texts[1] == (2, "short") and 0 < len(texts[0][1]) < 200
+        else:
+            assert texts == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
