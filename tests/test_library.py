@@ -100,11 +100,11 @@ def test_trees_and_cycles(spark):
     cycle = [tok("a", dep="root", head=2), tok("b", dep="obj", head=1)]
     none = [tok("a", dep="obj", head=2), tok("b", dep="obj", head=1)]
     nodes = trees.build(sents(spark, [(1, "", love), (2, "", cycle), (3, "", none)]))
-    got = [(r.sent_id, tuple(r.path), r.terminal) for r in nodes.orderBy("sent_id", "path").collect()]
+    got = [(r.sent_id, tuple(r.path), r.terminal) for r in trees.paths(nodes).orderBy("sent_id", "pre").collect()]
     assert got == [(1, (2,), False), (1, (2, 1), False), (1, (2, 3), False), (1, (2, 4), False), (2, (1,), False), (2, (1, 2), False), (2, (1, 2, 1), True)]
     leaf = Tree.of
     patterns = [("a", leaf("love", ("obj", leaf("programming")))), ("b", leaf("love", ("nsubj", leaf("I")), ("obj", leaf("programming")))), ("c", leaf("love", ("obj", leaf("coding")))), ("d", leaf("I")), ("e", leaf("love", ("obj", leaf("x")), ("obj", leaf("programming"))))]
-    found = dependency.find_all(nodes, dependency.pattern_table(spark, patterns)).orderBy("path", "pattern_index").collect()
+    found = dependency.find_all(nodes, dependency.pattern_table(spark, patterns)).orderBy("pre", "pattern_index").collect()
     assert [(r.node, r.matched_label) for r in found if r.sent_id == 1] == [(2, "a"), (2, "b"), (2, "e"), (1, "d")]
 
 
@@ -139,7 +139,7 @@ def test_tree_patterns_against_brute_force(spark):
                 want |= {(s, node[1], i, label) for i, (label, p) in enumerate(patterns) if brute_match(node, p)}
                 stack += [c for _, c in node[2]]
     nodes = trees.build(sents(spark, rows))
-    got = dependency.find_all(nodes, dependency.pattern_table(spark, patterns)).collect()
+    got = dependency.find_all(nodes, dependency.pattern_table(spark, patterns)).join(trees.paths(nodes).select("sent_id", "pre", "path"), ["sent_id", "pre"]).collect()
     assert len(got) == len(want) and {(r.sent_id, tuple(r.path), r.pattern_index, r.matched_label) for r in got} == want
     assert any(p.children and label in {w[3] for w in want} for label, p in patterns)
     none = dependency.find_all(nodes, spark.createDataFrame([], TREE_PATTERN))

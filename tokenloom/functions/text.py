@@ -14,13 +14,18 @@ from ..schema import FINAL_MARKS
 WHITE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+def _ends(white: str) -> str:
+    """White space at either end; a run in the middle is looked at from its start alone, so long ones don't cost their square."""
+    return f"^[{white}]+|(?<![{white}])[{white}]+$"
+
+
 def trim_white(c):
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.regexp_replace(c, _ends(WHITE), "")
 
 
 def strip(c):
     """As trim_white, with U+001C to U+001F."""
-    return F.regexp_replace(c, rf"^[{WHITE}\x{{1C}}-\x{{1F}}]+|[{WHITE}\x{{1C}}-\x{{1F}}]+$", "")
+    return F.regexp_replace(c, _ends(WHITE + r"\x{1C}-\x{1F}"), "")
 
 
 def ends_with_punctuation(sentence):

@@ -1,14 +1,21 @@
-"""Prompts, and the tab-separated wire format in both directions. All built-in expressions on arrays: no shuffle, no Python."""
+"""Prompts, and the tab-separated wire format in both directions, without any shuffle.
+
+Prompts, encoding and checks are built-in expressions on arrays. Decoding takes every line apart several times, which Spark
+interprets element by element; it is one pass over Arrow arrays instead.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.plan import once
-from ..functions.text import strip, trim_white
-from ..schema import DEP, END_MARKER, MARKER, POS, SEPARATOR, WHITESPACE, WHITESPACE_VARIANTS, lookup
+from ..functions import arrow
+from ..functions.text import strip
+from ..schema import DEP, END_MARKER, MARKER, POS, SEPARATOR, TOKENS_TYPE, WHITESPACE, lookup
 
+# Lines of the prompts.
 TASK = "Task: Analyze tokens (idx,token,ws,POS,lemma,dep,head)"
 TAILS = {
     "request": f"\n{TASK}\n\nAnalysis:\n",
@@ -91,7 +98,14 @@ def compact_format(tokens: Column) -> Column:
 
 
 def saved_percent(old: Column, new: Column) -> Column:
-    return F.round(100 * (F.length(old) - F.length(new)) / F.length(old), 1)
+    """One decimal; null where there is nothing to save from."""
+    return F.round(F.try_divide(100 * (F.length(old) - F.length(new)), F.length(old)), 1)
+
+
+def per_item(length: Column, items: Column, of: int | None = None) -> Column:
+    """Characters (or tokens) an item takes, one decimal, or those a sentence of ``of`` items would, rounded; null without items."""
+    each = F.try_divide(length, items)
+    return F.round(each, 1) if of is None else F.round(each * of, 0)
 
 
 def after_marker(text: Column) -> Column:
@@ -108,7 +122,10 @@ def head_number(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), F.coalesce(text.try_cast("int"), F.lit(-1))).otherwise(-1)
 
 
-_DECODE = {v: k for k, v in WHITESPACE.items()} | WHITESPACE_VARIANTS
+@F.arrow_udf(T.StructType().add("tokens", TOKENS_TYPE).add("error", T.StringType()))
+def _decoded(response: pa.Array) -> pa.Array:
+    tokens, error = arrow.decode(response)
+    return pa.StructArray.from_arrays([tokens.lists(response.is_null().to_numpy(zero_copy_only=False)), error], ["tokens", "error"])
 
 
 def decode(df: DataFrame, response_col: str = "response") -> DataFrame:
@@ -116,26 +133,10 @@ def decode(df: DataFrame, response_col: str = "response") -> DataFrame:
 
     Text before the last marker and from the first end marker on is dropped; so are empty lines, separators and lines of
     fewer than 7 fields. A space in front of a token's text goes back to the white space before it, in place of what is there.
+    A null response has null tokens and no error.
     """
-    body = trim_white(F.substring_index(after_marker(F.col(response_col)), END_MARKER, 1))
-    lines = F.filter(F.transform(F.split(body, "\n"), trim_white), lambda x: (x != "") & (x != SEPARATOR))
-    fields = F.filter(F.transform(lines, lambda x: F.split(x, "\t", -1)), lambda p: F.size(p) >= 7)
-    token = lambda p: F.struct(
-        p[1].alias("text"), lookup(_DECODE, p[2]).alias("whitespace"), p[3].alias("pos"), p[4].alias("lemma"), p[5].alias("dep"), head_number(p[6]).alias("head")
-    )
-    raw = F.col("_raw")
-    bad = F.filter(raw, lambda t: ~t["pos"].isin(POS) | ~t["dep"].isin(DEP))
-    starts = lambda t: F.coalesce(F.startswith(t["text"], F.lit(" ")), F.lit(False))
-    tokens = F.transform(
-        raw,
-        lambda t, i: F.struct(
-            F.when(starts(t), F.substr(t["text"], F.lit(2))).otherwise(t["text"]).alias("text"),
-            F.when(starts(F.get(raw, i + 1)), " ").otherwise(t["whitespace"]).alias("whitespace"),
-            t["pos"].alias("pos"), t["lemma"].alias("lemma"), t["dep"].alias("dep"), t["head"].alias("head"),
-        ),
-    )
-    error = F.when(F.size(bad) > 0, F.when(bad[0]["pos"].isin(POS), "Failed to parse dependency").otherwise("Failed to parse POS"))
-    return once(once(df, "_raw", F.transform(fields, token)).withColumn("error", error), "tokens", tokens).drop("_raw")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("tokens", "error")]
+    return df.select(*kept, _decoded(F.col(response_col)).alias("_d")).select(*kept, "_d.tokens", "_d.error")
 
 
 def decode_lenient(response_text: Column) -> Column:

@@ -73,25 +73,25 @@ def _rank(pattern: pd.DataFrame) -> pd.DataFrame:
 
 
 def find_all(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(sent_id, path, node, pattern_index, matched_label): path and index give the order of a walk from the root down."""
+    """(sent_id, pre, node, pattern_index, matched_label): pre and index give the order of a walk from the root down."""
     ranked = patterns.groupBy("pattern_index").applyInPandas(_rank, RANKED)
     top = ranked.agg(F.max("height")).first()[0] or 0
-    key = ("sent_id", "path", "pattern_index", "pnode")
-    held = ("node", "dep", "pparent", "pdep", "label", "kids", "height", "pheight")
+    key = ("sent_id", "pre", "pattern_index", "pnode")
+    held = ("node", "up", "dep", "pparent", "pdep", "label", "kids", "height", "pheight")
     rows = nodes.join(ranked, "lemma").select(*key, *held, (F.col("kids") == 0).alias("ok"))
     if top:
         rows = rows.repartition("sent_id")
     for level in range(1, top + 1):
         # each row stays; a match also tells the node above it that the pattern's child is there
-        own = F.struct("path", "pnode", F.struct(*held, "ok").alias("own"), F.lit(None).cast("int").alias("child"))
-        above = F.struct(F.slice("path", 1, F.size("path") - 1).alias("path"), F.col("pparent").alias("pnode"), F.lit(None).cast(own_type(rows, held)).alias("own"), F.col("pnode").alias("child"))
-        tells = F.col("ok") & (F.col("pheight") == level) & (F.size("path") > 1) & (F.col("dep") == F.col("pdep"))
+        own = F.struct("pre", "pnode", F.struct(*held, "ok").alias("own"), F.lit(None).cast("int").alias("child"))
+        above = F.struct(F.col("up").alias("pre"), F.col("pparent").alias("pnode"), F.lit(None).cast(own_type(rows, held)).alias("own"), F.col("pnode").alias("child"))
+        tells = F.col("ok") & (F.col("pheight") == level) & F.col("up").isNotNull() & (F.col("dep") == F.col("pdep"))
         sent = F.explode(F.when(tells, F.array(own, above)).otherwise(F.array(own))).alias("m")
-        told = rows.select("sent_id", "pattern_index", sent).select("sent_id", "m.path", "pattern_index", "m.pnode", "m.own", "m.child")
+        told = rows.select("sent_id", "pattern_index", sent).select("sent_id", "m.pre", "pattern_index", "m.pnode", "m.own", "m.child")
         told = told.groupBy(*key).agg(F.max("own").alias("own"), F.collect_set("child").alias("children")).filter("own is not null")
         ok = F.when(F.col("own.height") == level, F.size("children") == F.col("own.kids")).otherwise(F.col("own.ok"))
         rows = told.select(*key, *[F.col(f"own.{c}").alias(c) for c in held], ok.alias("ok"))
-    return rows.filter("pparent is null and ok").select("sent_id", "path", "node", "pattern_index", F.col("label").alias("matched_label"))
+    return rows.filter("pparent is null and ok").select("sent_id", "pre", "node", "pattern_index", F.col("label").alias("matched_label"))
 
 
 def own_type(rows: DataFrame, held: tuple[str, ...]) -> T.StructType:
@@ -103,6 +103,12 @@ def contains(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
     return find_all(nodes, patterns).select("sent_id").distinct()
 
 
+def find_multiple(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(sent_id, pattern_index, matched_label, nodes): each pattern's nodes in a sentence, in the order of a walk; only patterns that match."""
+    found = find_all(nodes, patterns).groupBy("sent_id", "pattern_index", "matched_label").agg(F.array_sort(F.collect_list(F.struct("pre", "node"))).alias("m"))
+    return found.select("sent_id", "pattern_index", "matched_label", F.col("m.node").alias("nodes"))
+
+
 def by_pattern(matches: DataFrame) -> DataFrame:
     """How many nodes each pattern matches, in how many sentences."""
     return matches.groupBy("pattern_index", "matched_label").agg(F.count("*").alias("n_nodes"), F.countDistinct("sent_id").alias("n_sentences"))

@@ -36,6 +36,21 @@ def find_all(sentences: DataFrame, patterns: DataFrame, key: str = "text", id_co
     return found.select(id_col, "pattern_index", "start", "end", F.col("label").alias("matched_label"), "pattern")
 
 
+def find_all_with_empty(sentences: DataFrame, patterns: DataFrame, key: str = "text", id_col: str = "sent_id") -> DataFrame:
+    """find_all() where empty patterns are allowed, as an automaton has them: one occurs, with no length, after each token
+    with which no prefix of any other pattern ends, for there the automaton is back at its root.
+    """
+    real = patterns.filter(F.size("pattern") > 0)
+    found = find_all(sentences, real, key, id_col)
+    prefixes = real.select(F.explode(F.sequence(F.lit(1), F.size("pattern"))).alias("_n"), "pattern").select(F.slice("pattern", 1, F.col("_n")).alias("pattern")).distinct()
+    busy = _grams(sentences, lengths(prefixes), key, id_col).join(prefixes, F.col("_gram") == F.col("pattern"), "left_semi").select(id_col, "end").distinct()
+    ends = sentences.select(id_col, F.explode(F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens")))).alias("end"))
+    rest = ends.join(busy, [id_col, "end"], "left_anti").withColumn("_k", F.lit(0))
+    empty = patterns.filter(F.size("pattern") == 0).withColumn("_k", F.lit(0))
+    none = rest.join(empty, "_k").select(id_col, "pattern_index", F.col("end").alias("start"), "end", F.col("label").alias("matched_label"), "pattern")
+    return found.unionByName(none)
+
+
 def in_order(matches: DataFrame, id_col: str = "sent_id") -> DataFrame:
     """By sentence, end, longer pattern first, then index."""
     return matches.orderBy(id_col, "end", F.desc(F.size("pattern")), "pattern_index")

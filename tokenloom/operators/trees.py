@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TREE_PATTERN
 
-NODE = "sent_id long, node int, parent int, dep string, lemma string, depth int, path array<int>, terminal boolean"
+NODE = "sent_id long, node int, parent int, dep string, lemma string, depth int, pre int, up int, terminal boolean"
+SCHEMA = pa.schema([("sent_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("dep", pa.string()), ("lemma", pa.string()), ("depth", pa.int32()), ("pre", pa.int32()), ("up", pa.int32()), ("terminal", pa.bool_())])
 
 
 def root(tokens: Column) -> Column:
@@ -25,70 +23,71 @@ def root_error(tokens: Column) -> Column:
     return F.when(root(tokens).isNull(), "No root token found in tokenization")
 
 
-def preorder(heads: list[int], first: int) -> Iterator[tuple[int, int | None, tuple[int, ...], bool]]:
-    """(node, parent, path, terminal) from the root down. A node that is on its own path again is there without children."""
+def preorder(heads: list[int], first: int) -> Iterator[tuple[int, int | None, int, int, int | None, bool]]:
+    """(node, parent, depth, number, parent's number, terminal) from the root down, numbered from 0 as they are met.
+
+    As each token has one head, only the root can be met again below itself; that copy has no children.
+    """
     children: dict[int, list[int]] = {}
     for i, h in enumerate(heads, 1):
         if h != i and 0 < h <= len(heads):
             children.setdefault(h, []).append(i)
-    stack: list[tuple[int, int | None, tuple[int, ...], bool]] = [(first, None, (first,), False)]
+    stack: list[tuple[int, int | None, int, int | None, bool]] = [(first, None, 0, None, False)]
+    number = 0
     while stack:
-        node, parent, path, terminal = stack.pop()
-        yield node, parent, path, terminal
+        node, parent, depth, up, terminal = stack.pop()
+        yield node, parent, depth, number, up, terminal
         if not terminal:
-            for c in reversed(children.get(node, ())):
-                stack.append((c, node, (*path, c), c in path))
+            stack += [(c, node, depth + 1, number, c == first) for c in reversed(children.get(node, ()))]
+        number += 1
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("sent_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("dep", pa.string()), ("lemma", pa.string()), ("depth", pa.int32()), ("path", pa.list_(pa.int32())), ("terminal", pa.bool_())])
     for batch in batches:
         ids, first, heads = (batch.column(c).to_pylist() for c in ("sent_id", "first", "heads"))
-        lists = batch.column("lemmas")
-        lemma, dep, off = lists.values, batch.column("deps").values, lists.offsets.to_numpy()
-        dep_off = batch.column("deps").offsets.to_numpy()
-        sent: list[int] = []
-        node, parent, depth, path_off, path, terminal, at, dep_at = [], [], [], [0], [], [], [], []
+        lemmas, deps = batch.column("lemmas"), batch.column("deps")
+        starts, dep_starts = lemmas.offsets.to_numpy().tolist(), deps.offsets.to_numpy().tolist()
+        rows: list[tuple] = []
         for k, (i, r, h) in enumerate(zip(ids, first, heads, strict=True)):
-            for n, p, way, end in preorder(h, r):
-                sent.append(i)
-                node.append(n)
-                parent.append(p)
-                depth.append(len(way) - 1)
-                path += way
-                path_off.append(len(path))
-                terminal.append(end)
-                at.append(off[k] + n - 1)
-                dep_at.append(dep_off[k] + n - 1)
-            if len(node) > 50_000 or k == len(ids) - 1:
-                paths = pa.ListArray.from_arrays(pa.array(path_off, pa.int32()), pa.array(path, pa.int32()))
-                columns = [pa.array(sent, pa.int64()), pa.array(node, pa.int32()), pa.array(parent, pa.int32()), dep.take(pa.array(np.array(dep_at, np.int64))), lemma.take(pa.array(np.array(at, np.int64))), pa.array(depth, pa.int32()), paths, pa.array(terminal, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                sent, node, parent, depth, path_off, path, terminal, at, dep_at = [], [], [], [], [0], [], [], [], []
+            rows += [(i, n, p, d, at, up, end, starts[k] + n - 1, dep_starts[k] + n - 1) for n, p, d, at, up, end in preorder(h, r)]
+            if rows and (len(rows) > 50_000 or k == len(ids) - 1):
+                sent, node, parent, depth, pre, up, terminal, at, dep_at = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(sent, pa.int64()), pa.array(node, pa.int32()), pa.array(parent, pa.int32()), deps.values.take(pa.array(dep_at)), lemmas.values.take(pa.array(at)),
+                        pa.array(depth, pa.int32()), pa.array(pre, pa.int32()), pa.array(up, pa.int32()), pa.array(terminal, pa.bool_()),
+                    ],
+                    schema=SCHEMA,
+                )
+                rows = []
 
 
 def build(sentences: DataFrame, id_col: str = "sent_id") -> DataFrame:
-    """Rows (sent_id, node, parent, dep, lemma, depth, path, terminal); ``path`` is a node's identity and sorts in preorder.
+    """Rows (sent_id, node, parent, dep, lemma, depth, pre, up, terminal).
 
-    A sentence is one row, so its tree is built where it is: one pass, no shuffle and no limit of depth, while a
-    recursive query would join and shuffle at each level. Sentences without a root have no rows.
+    ``pre`` numbers a sentence's nodes in preorder and is their identity, as a cycle's copy repeats ``node``; ``up`` is the
+    parent's number. A sentence is one row, so its tree is built where it is: one pass, no shuffle and no limit of depth,
+    while a recursive query would join and shuffle at each level. Sentences without a root have no rows.
     """
     t = F.col("tokens")
     rows = sentences.select(F.col(id_col).cast("long").alias("sent_id"), root(t).alias("first"), t["head"].alias("heads"), t["lemma"].alias("lemmas"), t["dep"].alias("deps"))
     return rows.filter("first is not null").mapInArrow(_build, NODE)
 
 
-def _as_pattern(tree: pd.DataFrame) -> pd.DataFrame:
-    number: dict[tuple[int, ...], int] = {}
-    rows = []
-    for path, sent, dep, lemma in sorted((tuple(int(x) for x in p), s, d, w) for p, s, d, w in zip(tree["path"], tree["sent_id"], tree["dep"], tree["lemma"], strict=True)):
-        number[path] = len(number)
-        up = number.get(path[:-1])
-        rows.append((sent, str(sent), number[path], up, None if up is None else dep, lemma))
-    return pd.DataFrame(rows, columns=["pattern_index", "label", "pnode", "pparent", "pdep", "lemma"]).astype({"pparent": "Int32"})
+def paths(nodes: DataFrame) -> DataFrame:
+    """Adds ``path``, the nodes from the root down: for those who want to see it, as a deep tree's paths take the square of its size."""
+    steps = F.array_sort(F.collect_list(F.struct("pre", "up", "node")))
+    trees = nodes.groupBy("sent_id").agg(steps.alias("t"))
+    # in preorder a parent comes before its children
+    grown = F.aggregate("t", F.array().cast("array<array<int>>"), lambda a, x: F.concat(a, F.array(F.when(x["up"].isNull(), F.array(x["node"])).otherwise(F.concat(F.get(a, x["up"]), F.array(x["node"]))))))
+    found = trees.select("sent_id", F.posexplode(grown).alias("pre", "path"))
+    return nodes.join(found, ["sent_id", "pre"])
 
 
 def as_patterns(nodes: DataFrame, label: str | None = None) -> DataFrame:
     """Trees as tree patterns, numbered by sentence id; a pattern's nodes are numbered in preorder."""
-    rows = nodes.groupBy("sent_id").applyInPandas(_as_pattern, TREE_PATTERN)
-    return rows if label is None else rows.withColumn("label", F.lit(label))
+    name = F.col("sent_id").cast("string") if label is None else F.lit(label)
+    return nodes.select(
+        F.col("sent_id").cast("int").alias("pattern_index"), name.alias("label"), F.col("pre").alias("pnode"), F.col("up").alias("pparent"),
+        F.when(F.col("up").isNotNull(), F.col("dep")).alias("pdep"), "lemma",
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sources
+from . import backends, sources
 from .backends import Synthetic
 from .engine import Engine, finish
 from .functions.text import ends_with_punctuation
@@ -15,7 +15,7 @@ from .operators import codec, corpus, dependency, evaluate, sequence, trees
 from .operators.dependency import Tree
 from .operators.repair import repair
 from .plans import synthetic
-from .schema import DEP, PATTERN, POS, language_name
+from .schema import DEP, PATTERN, POS, WHITESPACE, WHITESPACE_VARIANTS, language_name
 
 PATTERNS = [
     (0, "of_the", ["of", "the"]), (1, "the", ["the"]), (2, "and_the", ["and", "the"]), (3, "de_la", ["de", "la"]),
@@ -144,7 +144,7 @@ def tree_roots(spark, d):
 
 
 def tree_edges(spark, d):
-    return _nodes(spark, d).select("sent_id", "node", "parent", "dep", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "terminal")
+    return trees.paths(_nodes(spark, d)).select("sent_id", "node", "parent", "dep", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "terminal")
 
 
 def tree_depths(spark, d):
@@ -211,6 +211,67 @@ def eval_report(spark, d):
     return _rounded(evaluate.report(_pairs(spark, d)))
 
 
+def eval_report_dep(spark, d):
+    """Of the first four labels only, so that the summary is a micro average."""
+    return _rounded(evaluate.report(_pairs(spark, d), "dep", 4))
+
+
+def eval_decoded(spark, d):
+    """What was decoded and repaired against the annotation; sentences with an error are left out."""
+    return _rounded(evaluate.overall(evaluate.pairs(_a(spark, d), finish(synthetic.responses(spark, d)))))
+
+
+def error_details(spark, d):
+    out = finish(synthetic.responses(spark, d)).filter("error_detail is not null")
+    return out.select("sent_id", *[F.md5(f"error_detail.{c}").alias(f"{c}_md5") for c in ("reconstructed", "sentence", "response")])
+
+
+def texts_and_lemmas(spark, d):
+    t = F.col("tokens")
+    return _a(spark, d).select("sent_id", F.md5(F.array_join(codec.texts(t), " ")).alias("texts_md5"), F.md5(F.array_join(codec.lemmas(t), " ")).alias("lemmas_md5"), F.size(t).cast("long").alias("n_tokens"))
+
+
+def analysis_extraction(spark, d):
+    r = synthetic.responses(spark, d)
+    whole = F.concat(codec.prompt(F.col("sentence"), language_name(F.col("language")), "inference"), F.lit("  "), F.col("response"), F.lit("\n"))
+    return r.select("sent_id", F.md5(codec.analysis(whole)).alias("analysis_md5"))
+
+
+def empty_pattern_match(spark, d):
+    patterns = spark.createDataFrame([(0, "none", []), (1, "of_the", ["of", "the"]), (2, "the", ["the"])], PATTERN)
+    return sequence.find_all_with_empty(_a(spark, d), patterns).drop("pattern")
+
+
+def dep_find_multiple(spark, d):
+    found = dependency.find_multiple(_nodes(spark, d), _tree_patterns(spark))
+    return found.select("sent_id", "pattern_index", "matched_label", F.size("nodes").cast("long").alias("n_nodes"), F.array_join(F.transform(F.array_sort("nodes"), lambda x: x.cast("string")), " ").alias("nodes"))
+
+
+def corpus_scan(spark, d):
+    """Written as one folder of JSON lines for each language, some under the older key, and read back."""
+    folder = sources.scratch(spark, "corpus")
+    df = _a(spark, d).select("sent_id", "language", "sentence", "tokens")
+    old = F.col("sent_id") % 4 == 0
+    line = F.to_json(F.struct("sentence", F.when(~old, F.col("tokens")).alias("tokens"), F.when(old, F.col("tokens")).alias("doc")))
+    df.select(F.concat(F.lit("cleaned_"), "language", F.lit(".jsonl")).alias("file"), line.alias("value")).write.partitionBy("file").text(folder)
+    languages = [r.language for r in df.select("language").distinct().collect()]  # languages are few
+    got = sources.read_corpus(spark, folder, languages, "{folder}/file=cleaned_{code}.jsonl")
+    lemmas = F.array_join("tokens.lemma", " ")
+    return got.groupBy("language", F.md5("sentence").alias("sentence_md5"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(lemmas).alias("lemmas_md5")).agg(F.count("*").alias("n"))
+
+
+def eos_check(spark, d):
+    pairs = corpus.prompt_pairs(_a(spark, d))
+    return pairs.groupBy("split").agg(F.count("*").alias("n"), F.sum((~F.endswith("full_text", F.lit("<eos>"))).cast("long")).alias("n_lacking"))
+
+
+def format_per_item(spark, d):
+    old, new = codec.verbose_format(F.col("tokens")), codec.compact_format(F.col("tokens"))
+    n = F.size("tokens")
+    each = lambda x, of=None: codec.per_item(F.length(x), n, of)
+    return _a(spark, d).select("sent_id", each(old).alias("old_per_item"), each(new).alias("new_per_item"), each(old, 10).alias("old_of_ten"), each(new, 10).alias("new_of_ten"))
+
+
 def pos_dep_domain_check(spark, d):
     t = _tokens_flat(_a(spark, d), "sent_id")
     return t.groupBy("pos", "dep").agg(F.count("*").alias("n"), F.min(F.col("pos").isin(POS) & F.col("dep").isin(DEP)).alias("known"))
@@ -230,12 +291,13 @@ def latest_checkpoint(spark, d):
 
 
 def json_round_trip(spark, d):
-    df = _a(spark, d).withColumn("json", sources.to_json())
-    return df.select("sent_id", F.md5(F.array_join(sources.from_json(F.col("json"))["lemma"], " ")).alias("lemmas_md5"))
+    df = _a(spark, d).withColumn("json", sources.to_json()).select("sent_id", sources.from_json(F.col("json")).alias("t"))
+    field = lambda c: F.md5(F.array_join(F.transform("t", lambda x: x[c].cast("string")), " ")).alias(f"{c}_md5")
+    return df.select("sent_id", *[field(c) for c in ("text", "whitespace", "pos", "lemma", "dep", "head")])
 
 
 def token_budget(spark, d):
-    return synthetic.sentences(spark, d).select("sent_id", (10 + 8 * F.octet_length("sentence")).cast("long").alias("max_tokens"))
+    return synthetic.sentences(spark, d).select("sent_id", backends.token_budget(F.col("sentence")).cast("long").alias("max_tokens"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -244,6 +306,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         repair_status, analyze_replay, match_counts_by_label, pattern_count, match_format, tree_roots, tree_edges, tree_depths, dep_match, dep_contains,
         dep_match_groups, corpus_process, punct_filter, corpus_groups, corpus_split, split_counts, corpus_prompt_pairs, eval_overall, eval_by_language,
         eval_confusion, eval_report, pos_dep_domain_check, grammar_check, limit_per_language, latest_checkpoint, json_round_trip, token_budget,
+        eval_report_dep, eval_decoded, error_details, texts_and_lemmas, analysis_extraction, empty_pattern_match, dep_find_multiple, corpus_scan, eos_check, format_per_item,
     )
     found = {f.__name__: f for f in plain}
     return found | {f"{k}_match": _matches(k) for k in ("text", "lemma")} | {f"{k}_contains": _contains(k) for k in ("text", "lemma")}
@@ -259,7 +322,7 @@ sent AS (
 )"""
 TOK = SENT + r""",
 found AS (
-  SELECT sent_id, language, sentence, unnest(f) AS x, generate_subscripts(f, 1) AS idx
+  SELECT sent_id, language, sentence, len(f) AS n, unnest(f) AS x, generate_subscripts(f, 1) AS idx
   FROM (SELECT *, regexp_extract_all(sentence, '(?:[\p{L}\p{N}]+|[^ \x09\x0B\x0C\x0D\p{L}\p{N}]) ?') AS f FROM sent)
 ),
 tok AS (
@@ -267,8 +330,8 @@ tok AS (
          CASE WHEN NOT regexp_matches(x, '^[\p{L}\p{N}]') THEN 'PUNCT' WHEN regexp_matches(x, '^[0-9]+ ?$') THEN 'NUM'
               ELSE (['NOUN','VERB','ADJ','DET','ADP'])[length(rtrim(x, ' ')) % 5 + 1] END AS pos,
          lower(rtrim(x, ' ')) AS lemma,
-         CASE WHEN idx = 1 THEN 'root' WHEN NOT regexp_matches(x, '^[\p{L}\p{N}]') THEN 'punct' ELSE (['nsubj','obj','obl','det','amod','advmod'])[idx % 6 + 1] END AS dep,
-         CAST(idx // 2 AS INTEGER) AS head, count(*) OVER (PARTITION BY sent_id) AS n
+         CASE WHEN idx = 1 OR (idx = 3 AND sent_id % 17 = 0) THEN 'root' WHEN NOT regexp_matches(x, '^[\p{L}\p{N}]') THEN 'punct' ELSE (['nsubj','obj','obl','det','amod','advmod'])[idx % 6 + 1] END AS dep,
+         CAST(CASE WHEN idx = 1 AND sent_id % 13 = 0 AND n > 1 THEN 2 ELSE idx // 2 END AS INTEGER) AS head, n
   FROM found
 )"""
 CLEAN = TOK + r""",
@@ -297,9 +360,9 @@ resp AS (
     WHEN 6 THEN replace(response, chr(10) || '2' || t, chr(10) || '2 ')
     WHEN 7 THEN replace(response, ending, chr(10) || '99' || t || ' !' || t || 'none' || t || 'PUNCT' || t || '!' || t || 'punct' || t || '1' || ending)
     WHEN 8 THEN replace(response, t || 'root' || t, t || 'ROOT' || t)
-    ELSE response END AS response
+    ELSE replace(response, t || 'none' || t, t || ([{codes}])[(sent_id // 10) % {n_codes} + 1] || t) END AS response
   FROM clean, e
-)"""
+)""".replace("{codes}", ", ".join(f"'{c}'" for c in synthetic.CODES)).replace("{n_codes}", str(len(synthetic.CODES)))
 WHITE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STRIP = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -312,6 +375,7 @@ def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+_CODES = " ".join(f"WHEN '{code}' THEN '{char}'" for code, char in [*((c, w) for w, c in WHITESPACE.items()), *WHITESPACE_VARIANTS.items()])
 _BODY = _trim("string_split(list_last(string_split(response, 'Here''s the token analysis:')), '</analysis>')[1]")
 DEC = RESP + rf""",
 raw AS (
@@ -323,7 +387,7 @@ raw AS (
 fields AS (SELECT sent_id, sentence, string_split(line, chr(9)) AS p, row_number() OVER (PARTITION BY sent_id ORDER BY place) AS idx FROM raw),
 dec AS (
   SELECT sent_id, sentence, idx, CASE WHEN prefix(p[2], ' ') THEN substr(p[2], 2) ELSE p[2] END AS text,
-         CASE WHEN prefix(coalesce(lead(p[2]) OVER w, ''), ' ') THEN ' ' WHEN p[3] = 'none' THEN '' WHEN p[3] = '_' THEN ' ' ELSE p[3] END AS whitespace,
+         CASE WHEN prefix(coalesce(lead(p[2]) OVER w, ''), ' ') THEN ' ' ELSE CASE p[3] {_CODES} ELSE p[3] END END AS whitespace,
          p[4] AS pos, p[5] AS lemma, p[6] AS dep,
          CASE WHEN regexp_matches(p[7], '^[+-]?[0-9]+$') THEN coalesce(try_cast(p[7] AS INTEGER), -1) ELSE -1 END AS head
   FROM fields WINDOW w AS (PARTITION BY sent_id ORDER BY idx)
@@ -333,18 +397,22 @@ bad AS (
   FROM dec WHERE pos NOT IN ({_quoted(POS)}) OR dep NOT IN ({_quoted(DEP)}) GROUP BY sent_id
 )"""
 REP = DEC + r""",
+place AS (
+  SELECT sent_id, sentence, idx, text, whitespace, coalesce(sum(length(text) + length(whitespace)) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM dec
+),
 agg AS (
-  SELECT sent_id, count(*) AS n, string_agg(text || whitespace, '' ORDER BY idx) AS whole
-  FROM dec GROUP BY sent_id
+  SELECT sent_id, count(*) AS n, string_agg(text || whitespace, '' ORDER BY idx) AS whole, coalesce(string_agg(text, '' ORDER BY idx) FILTER (begins >= length(sentence)), '') AS beyond
+  FROM place GROUP BY sent_id
 ),
 short AS (
   SELECT sent_id, string_agg(text || whitespace, '' ORDER BY idx) AS part FROM (SELECT *, max(idx) OVER (PARTITION BY sent_id) AS top FROM dec) WHERE idx < top GROUP BY sent_id
 ),
 state AS (
-  SELECT r.sent_id, r.sentence, coalesce(n, 0) AS n, coalesce(whole, '') AS whole, part, error,
+  SELECT r.sent_id, r.sentence, coalesce(n, 0) AS n, coalesce(whole, '') AS whole, coalesce(beyond, '') AS beyond, part, error,
     CASE WHEN error IS NOT NULL THEN 'failed' WHEN coalesce(whole, '') = r.sentence THEN 'exact' WHEN part = r.sentence THEN 'drop_last'
          WHEN regexp_replace(part, '[ \x{202F}]+$', '') = r.sentence THEN 'drop_last_trim'
-         WHEN strip_accents(coalesce(whole, '')) = strip_accents(r.sentence) THEN 'normalize' ELSE 'failed' END AS repair
+         WHEN strip_accents(replace(coalesce(whole, ''), chr(8203), '')) = strip_accents(r.sentence) THEN 'normalize' ELSE 'failed' END AS repair
   FROM resp r LEFT JOIN agg USING (sent_id) LEFT JOIN short USING (sent_id) LEFT JOIN bad USING (sent_id)
 )"""
 PRED = TOK + r""",
@@ -406,15 +474,16 @@ hits AS (
 
 
 WALK = r""",
-walk(sent_id, node, parent, dep, lemma, depth, path) AS (
-  SELECT sent_id, CAST(1 AS INTEGER), CAST(NULL AS INTEGER), dep, lemma, 0, '1' FROM tok WHERE idx = 1
+walk(sent_id, node, parent, dep, lemma, depth, path, up, terminal) AS (
+  SELECT sent_id, CAST(1 AS INTEGER), CAST(NULL AS INTEGER), dep, lemma, 0, '1', CAST(NULL AS VARCHAR), false FROM tok WHERE idx = 1
   UNION ALL
-  SELECT w.sent_id, CAST(t.idx AS INTEGER), w.node, t.dep, t.lemma, w.depth + 1, w.path || '.' || t.idx FROM walk w JOIN tok t ON t.sent_id = w.sent_id AND t.head = w.node
+  SELECT w.sent_id, CAST(t.idx AS INTEGER), w.node, t.dep, t.lemma, w.depth + 1, w.path || '.' || t.idx, w.path, t.idx = 1
+  FROM walk w JOIN tok t ON t.sent_id = w.sent_id AND t.head = w.node WHERE NOT w.terminal
 )"""
 
 
 def _dep_sql() -> str:
-    """Each pattern as self-joins of tokens on head."""
+    """Each pattern as self-joins of the trees' nodes on their parent."""
     parts = []
     for index, (label, tree) in enumerate(TREES):
         joins, number, stack = [], 0, [(tree, "t0")]
@@ -423,10 +492,10 @@ def _dep_sql() -> str:
             node, alias = stack.pop()
             for dep, child in dict(node.children).items():
                 number += 1
-                joins.append(f"JOIN tok t{number} ON t{number}.sent_id = t0.sent_id AND t{number}.head = {alias}.idx AND t{number}.dep = '{dep}' AND t{number}.lemma = '{child.lemma}'")
+                joins.append(f"JOIN walk t{number} ON t{number}.sent_id = t0.sent_id AND t{number}.up = {alias}.path AND t{number}.dep = '{dep}' AND t{number}.lemma = '{child.lemma}'")
                 stack.append((child, f"t{number}"))
-        parts.append(f"SELECT DISTINCT t0.sent_id, CAST(t0.idx AS INTEGER) AS node, {index} AS pattern_index, '{label}' AS matched_label FROM tok t0 {' '.join(joins)} WHERE {' AND '.join(conditions)}")
-    return TOK + ", deps AS (" + " UNION ALL ".join(parts) + ")"
+        parts.append(f"SELECT DISTINCT t0.sent_id, t0.path, t0.node, {index} AS pattern_index, '{label}' AS matched_label FROM walk t0 {' '.join(joins)} WHERE {' AND '.join(conditions)}")
+    return TOK + WALK + ", deps AS (" + " UNION ALL ".join(parts) + ")"
 
 
 def _grammar_sql() -> str:
@@ -470,18 +539,21 @@ f2 AS (SELECT sent_id, place, string_split(line, chr(9)) AS p FROM lines2 WHERE
     aggregated = lambda x, sep="chr(10)": f"coalesce(string_agg({x}, {sep} ORDER BY idx), '')"
     report = PRED + r""",
 conf AS (SELECT true_pos AS t, pred_pos AS p, count(*) AS n FROM pair GROUP BY ALL),
-sums AS (
+all_sums AS (
   SELECT label, sum(s) AS support, sum(g) AS guessed, sum(r) AS hits FROM (
     SELECT t AS label, n AS s, 0 AS g, CASE WHEN t = p THEN n ELSE 0 END AS r FROM conf UNION ALL SELECT p, 0, n, 0 FROM conf
-  ) GROUP BY label ORDER BY label LIMIT 20
+  ) GROUP BY label
 ),
+whole AS (SELECT count(*) <= 20 AS whole FROM all_sums),
+sums AS (SELECT * FROM all_sums ORDER BY label LIMIT 20),
 each AS (
   SELECT *, CASE WHEN guessed = 0 THEN 0 ELSE hits / guessed END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM sums
 ),
 full_ AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM each),
 rep AS (
   SELECT label, precision, recall, f1, support FROM full_
-  UNION ALL SELECT 'micro avg', p, r, 2 * p * r / (p + r), s FROM (SELECT sum(hits) / sum(guessed) AS p, sum(hits) / sum(support) AS r, sum(support) AS s FROM full_)
+  UNION ALL SELECT CASE WHEN whole THEN 'accuracy' ELSE 'micro avg' END, CASE WHEN whole THEN r ELSE p END, r, CASE WHEN whole THEN r ELSE 2 * p * r / (p + r) END, s
+    FROM (SELECT sum(hits) / sum(guessed) AS p, sum(hits) / sum(support) AS r, sum(support) AS s FROM full_), whole
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM full_
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM full_
 )"""
@@ -510,17 +582,18 @@ grp AS (
         "decode_lenient": _with(lenient, f"SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY place) AS place, {lenient_cols} FROM f2"),
         "head_parse": _with(SENT, "SELECT sent_id, raw, CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN coalesce(try_cast(raw AS INTEGER), -1) ELSE -1 END AS head FROM (SELECT sent_id, (['', '+', '-', ' ', 'x', '0000', '9'])[sent_id % 7 + 1] || (sent_id * 7919) AS raw FROM sent)"),
         "reconstruct_text": _with(TOK, f"SELECT s.sent_id, md5({tok_md5}) AS text_md5, {tok_md5} = any_value(s.sentence) AS same FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
-        "repair_status": _with(REP, "SELECT sent_id, repair, CAST(CASE WHEN repair IN ('drop_last', 'drop_last_trim') THEN n - 1 ELSE n END AS BIGINT) AS n_tokens, false AS slipped, md5(CASE WHEN repair = 'failed' THEN whole ELSE sentence END) AS text_md5 FROM state"),
+        "repair_status": _with(REP, "SELECT sent_id, repair, CAST(CASE WHEN repair IN ('drop_last', 'drop_last_trim') THEN n - 1 ELSE n END AS BIGINT) AS n_tokens, repair = 'normalize' AND beyond <> '' AS slipped, md5(CASE repair WHEN 'failed' THEN whole WHEN 'normalize' THEN sentence || beyond ELSE sentence END) AS text_md5 FROM state"),
         "analyze_replay": _with(REP, "SELECT sent_id, CASE WHEN error IS NOT NULL THEN error WHEN repair = 'failed' THEN 'Reconstructed text does not match the original sentence' END AS error, CAST(CASE WHEN repair IN ('drop_last', 'drop_last_trim') THEN n - 1 ELSE n END AS BIGINT) AS n_tokens FROM state"),
         "pattern_count": f"SELECT CAST({len(PATTERNS)} AS BIGINT) AS n",
         "match_format": _with(TOK + _pattern_sql(), "SELECT CAST(pattern_index AS INTEGER) AS pattern_index, 'Match { ' || array_to_string(pattern, ', ') || ' }' AS shown FROM pat"),
         "match_counts_by_label": _with(_match_sql("lemma"), "SELECT matched_label, count(*) AS n, count(DISTINCT sent_id) AS n_sentences FROM hits GROUP BY matched_label"),
         "tree_roots": _with(TOK, "SELECT s.sent_id, CAST(min(CASE WHEN dep = 'root' OR head = idx THEN idx END) AS INTEGER) AS root, CASE WHEN count(*) FILTER (dep = 'root' OR head = idx) = 0 THEN 'No root token found in tokenization' END AS error FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
-        "tree_edges": _with(TOK + WALK, "SELECT sent_id, node, parent, dep, CAST(depth AS INTEGER) AS depth, path, false AS terminal FROM walk", True),
+        "tree_edges": _with(TOK + WALK, "SELECT sent_id, node, parent, dep, CAST(depth AS INTEGER) AS depth, path, terminal FROM walk", True),
         "tree_depths": _with(TOK + WALK, "SELECT sent_id, CAST(max(depth) AS INTEGER) AS depth, count(*) AS n_nodes FROM walk GROUP BY sent_id", True),
-        "dep_match": _with(_dep_sql(), "SELECT * FROM deps"),
-        "dep_contains": _with(_dep_sql(), "SELECT DISTINCT sent_id FROM deps WHERE pattern_index IN (2, 4)"),
-        "dep_match_groups": _with(_dep_sql(), "SELECT pattern_index, matched_label, count(*) AS n_nodes, count(DISTINCT sent_id) AS n_sentences FROM deps GROUP BY ALL"),
+        "dep_match": _with(_dep_sql(), "SELECT sent_id, node, pattern_index, matched_label FROM deps", True),
+        "dep_find_multiple": _with(_dep_sql(), "SELECT sent_id, pattern_index, matched_label, count(*) AS n_nodes, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY node, path) AS nodes FROM deps GROUP BY ALL", True),
+        "dep_contains": _with(_dep_sql(), "SELECT DISTINCT sent_id FROM deps WHERE pattern_index IN (2, 4)", True),
+        "dep_match_groups": _with(_dep_sql(), "SELECT pattern_index, matched_label, count(*) AS n_nodes, count(DISTINCT sent_id) AS n_sentences FROM deps GROUP BY ALL", True),
         "corpus_process": _with(CLEAN, f"SELECT s.sent_id, any_value({_NAMES.replace('language', 's.language')}) AS language_name, " + ", ".join(f"md5(coalesce(string_agg({c}, '|' ORDER BY idx), '')) AS {n}" for n, c in moved_lists.items()) + " FROM sent s LEFT JOIN moved m ON m.sent_id = s.sent_id GROUP BY s.sent_id"),
         "punct_filter": _with(SENT, f"SELECT sent_id, {_ENDS} AS ends FROM sent"),
         "corpus_groups": _with(SENT + GROUPS, "SELECT sent_id, shard, rank, group_start FROM member", True),
@@ -531,10 +604,22 @@ grp AS (
         "eval_by_language": _with(PRED, f"SELECT language, {correct}, {accuracy}, count(*) AS total_tokens FROM pair GROUP BY language"),
         "eval_confusion": _with(PRED, 'SELECT true_pos AS "true", pred_pos AS pred, count(*) AS n FROM pair GROUP BY ALL'),
         "eval_report": _with(report, "SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM rep"),
+        "eval_report_dep": _with(report.replace("true_pos AS t, pred_pos AS p", "true_dep AS t, pred_dep AS p").replace("<= 20", "<= 4").replace("LIMIT 20", "LIMIT 4"), "SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM rep"),
+        "eval_decoded": _with(REP, "SELECT " + ", ".join(f"round(count(*) FILTER (t.{x} = d.{x}) / count(*), 9) AS {x}_accuracy" for x in evaluate.LABELS) + ", count(*) AS total_tokens FROM tok t JOIN dec d USING (sent_id, idx) JOIN state s USING (sent_id) WHERE s.repair <> 'failed' AND NOT (s.repair IN ('drop_last', 'drop_last_trim') AND d.idx = s.n)"),
+        "error_details": _with(REP, "SELECT sent_id, md5(whole) AS reconstructed_md5, md5(s.sentence) AS sentence_md5, md5(response) AS response_md5 FROM state s JOIN resp USING (sent_id) WHERE repair = 'failed' AND error IS NULL"),
+        "texts_and_lemmas": _with(TOK, "SELECT s.sent_id, md5(coalesce(string_agg(text, ' ' ORDER BY idx), '')) AS texts_md5, md5(coalesce(string_agg(lemma, ' ' ORDER BY idx), '')) AS lemmas_md5, count(idx) AS n_tokens FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
+        "analysis_extraction": _with(RESP, f"SELECT sent_id, md5({_trim('response', STRIP)}) AS analysis_md5 FROM resp"),
+        "empty_pattern_match": _with(_match_sql("text"), """SELECT sent_id, CAST(CASE matched_label WHEN 'of_the' THEN 1 ELSE 2 END AS INTEGER) AS pattern_index, start, "end", matched_label FROM hits WHERE matched_label IN ('of_the', 'the')
+UNION ALL SELECT sent_id, 0, CAST(idx AS INTEGER), CAST(idx AS INTEGER), 'none' FROM tok WHERE text NOT IN ('of', 'the')"""),
+        "corpus_scan": _with(TOK, """SELECT language, md5(sentence) AS sentence_md5, n_tokens, lemmas_md5, count(*) AS n FROM (
+  SELECT s.sent_id, any_value(s.language) AS language, any_value(s.sentence) AS sentence, count(idx) AS n_tokens, md5(coalesce(string_agg(lemma, ' ' ORDER BY idx), '')) AS lemmas_md5 FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id
+) GROUP BY ALL"""),
+        "eos_check": _with(SENT + GROUPS, "SELECT split, count(DISTINCT number) AS n, CAST(0 AS BIGINT) AS n_lacking FROM splits GROUP BY split", True),
+        "format_per_item": _with(TOK, f"SELECT sent_id, round(length(o) / nullif(n, 0), 1) AS old_per_item, round(length(w) / nullif(n, 0), 1) AS new_per_item, round(length(o) / nullif(n, 0) * 10, 0) AS old_of_ten, round(length(w) / nullif(n, 0) * 10, 0) AS new_of_ten FROM (SELECT sent.sent_id, count(idx) AS n, {aggregated(old)} AS o, {aggregated(new)} AS w FROM sent LEFT JOIN tok ON tok.sent_id = sent.sent_id GROUP BY sent.sent_id)"),
         "pos_dep_domain_check": _with(TOK, f"SELECT pos, dep, count(*) AS n, bool_and(pos IN ({_quoted(POS)}) AND dep IN ({_quoted(DEP)})) AS known FROM tok GROUP BY pos, dep"),
         "limit_per_language": _with(SENT, "SELECT language, sent_id FROM sent QUALIFY row_number() OVER (PARTITION BY language ORDER BY sent_id) <= 50"),
         "latest_checkpoint": "SELECT 'run/checkpoint-' || max(doc_id) AS path, max(doc_id) AS step FROM documents WHERE doc_id % 3 = 0",
-        "json_round_trip": _with(TOK, "SELECT s.sent_id, md5(coalesce(string_agg(lemma, ' ' ORDER BY idx), '')) AS lemmas_md5 FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
+        "json_round_trip": _with(TOK, "SELECT s.sent_id, " + ", ".join(f"md5(coalesce(string_agg(CAST({c} AS VARCHAR), ' ' ORDER BY idx), '')) AS {c}_md5" for c in ("text", "whitespace", "pos", "lemma", "dep", "head")) + " FROM sent s LEFT JOIN tok t ON t.sent_id = s.sent_id GROUP BY s.sent_id"),
         "grammar_check": "WITH " + _grammar_sql().strip(),
         "token_budget": _with(SENT, f"SELECT sent_id, {budget} AS max_tokens FROM sent"),
     }

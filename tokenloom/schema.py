@@ -31,6 +31,7 @@ INFERENCE_LANGUAGES = ("eng", "deu", "fra", "spa", "kor")
 # Marks that end a sentence.
 FINAL_MARKS = ".!?:;\u0964\u3002\uFF01\uFF1F\u061F\u00BF\u00A1"
 
+# Marks of the wire format.
 MARKER = "Here's the token analysis:"
 END_MARKER = "</analysis>"
 SEPARATOR = "-----"
@@ -39,6 +40,7 @@ TOKEN = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("text", "whitespace", "pos", "lemma", "dep")] + [T.StructField("head", T.IntegerType(), False)]
 )
 TOKENS = "array<struct<text:string,whitespace:string,pos:string,lemma:string,dep:string,head:int>>"
+TOKENS_TYPE = T.ArrayType(T.StructType([T.StructField(f.name, f.dataType) for f in TOKEN.fields]))
 PATTERN = "pattern_index int, label string, pattern array<string>"
 TREE_PATTERN = "pattern_index int, label string, pnode int, pparent int, pdep string, lemma string"
 
