@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, votes weighted by similarity."""
+"""Toxicity by nearest labelled examples: exact cosine of TF-IDF, weighted by what tells the labels apart, over block-max inverted lists; votes count by similarity."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ from .decontaminate import WORD
 
 PREFIXES = (4, 5, 6)
 BLOCK = 64
+FIRST_BLOCKS = 16
+#: Cosines held at once by a task.
+CELLS = 1 << 20
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ class BlockMaxIndex:
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(terms + 1))
-        self.blocks = -(-examples // BLOCK)
+        self.examples, self.blocks = examples, -(-examples // BLOCK)
         key = term[order] * self.blocks + self.example // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         self.block_start = np.r_[first, len(key)]
@@ -74,31 +77,42 @@ class BlockMaxIndex:
         self.top = np.maximum.reduceat(self.weight, first) if len(key) else self.weight
         self.term_block = np.searchsorted(key[first] // self.blocks, np.arange(terms + 1)) if len(key) else np.zeros(terms + 1, np.int64)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly; ties to the smaller number. Blocks whose bound is too low stay unread."""
-        pieces_ = [np.arange(self.term_block[t], self.term_block[t + 1]) for t in terms.tolist()]
-        entry = np.concatenate(pieces_) if pieces_ else np.zeros(0, np.int64)
-        q = np.repeat(weights, [len(x) for x in pieces_])
-        bound = np.bincount(self.block[entry], q * self.top[entry], minlength=self.blocks)
-        turn = np.argsort(-bound, kind="stable")
-        turn = turn[bound[turn] > 0]
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(turn), 16):
-            some = turn[at : at + 16]
-            if len(found) >= k and score[k - 1] > bound[some[0]] * (1 + 1e-12):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            mine = chosen[self.block[entry]]
-            lo, hi = self.block_start[entry[mine]], self.block_start[entry[mine] + 1]
-            n = hi - lo
-            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            total = np.bincount(self.example[place], np.repeat(q[mine], n) * self.weight[place])
-            new = np.flatnonzero(total)
-            found, score = np.r_[found, new], np.r_[score, total[new]]
-            order = np.lexsort((found, -np.round(score, 12)))[:k]
-            found, score = found[order], score[order]
-        return found, score
+    def nearest(self, off: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, example, cosine): for documents terms[off[i]:off[i + 1]] the k examples of largest cosine above 0, exactly, best first; ties to the smaller number.
+
+        All documents at once: the blocks of largest bounds are read first, then those whose bound reaches a document's k-th best;
+        the others stay unread.
+        """
+        docs = len(off) - 1
+        k = min(k, self.examples)
+        lo, n = self.term_block[terms], self.term_block[terms + 1] - self.term_block[terms]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        q, doc = np.repeat(weights, n), np.repeat(np.repeat(np.arange(docs), np.diff(off)), n)
+        cell = doc * self.blocks + self.block[entry]
+        bound = np.bincount(cell, q * self.top[entry], minlength=docs * self.blocks)
+        total = np.zeros(docs * self.examples)
+
+        def read(chosen: np.ndarray) -> np.ndarray:
+            mine = chosen[cell]
+            e = entry[mine]
+            m = self.block_start[e + 1] - self.block_start[e]
+            place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.block_start[e], m)
+            np.add(total, np.bincount(np.repeat(doc[mine] * self.examples, m) + self.example[place], np.repeat(q[mine], m) * self.weight[place], minlength=len(total)), out=total)
+            return np.partition(total.reshape(docs, self.examples), self.examples - k, axis=1)[:, self.examples - k]
+
+        rows = bound.reshape(docs, self.blocks)
+        first = min(FIRST_BLOCKS, self.blocks)
+        chosen = ((rows >= np.partition(rows, self.blocks - first, axis=1)[:, self.blocks - first, None]) & (rows > 0)).ravel()
+        worst = read(chosen)
+        more = ~chosen & (bound > 0) & (bound * (1 + 1e-12) >= np.repeat(worst, self.blocks))
+        if more.any():
+            worst = read(more)
+        hit = np.flatnonzero((total >= np.repeat(worst - 1e-11, self.examples)) & (total > 0))
+        d, x = hit // self.examples, hit % self.examples
+        order = np.lexsort((x, -np.round(total[hit], 12), d))
+        d, hit = d[order], hit[order]
+        keep = np.arange(len(d)) - np.searchsorted(d, d) < k
+        return d[keep], hit[keep] % self.examples, total[hit[keep]]
 
 
 @dataclass
@@ -117,16 +131,22 @@ class Model:
         n = len(column)
         scores, ids, sims = np.full(n, self.prior), [[] for _ in range(n)], [[] for _ in range(n)]
         doc, term, times = self.vocabulary.counts(column)
-        weight = (1 + np.log(times)) * self.vocabulary.idf[term] if len(doc) else np.zeros(0)
-        cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
-        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            w = weight[a:z]
-            near, cosine = self.index.nearest(term[a:z], w / np.sqrt((w * w).sum()), self.k)
-            vote = self.share[near] * cosine * cosine
-            d = int(doc[a])
-            mean = float(self.share.mean())
-            scores[d] = ((vote * self.label[near]).sum() + self.smooth * mean * self.prior) / (vote.sum() + self.smooth * mean)
-            ids[d], sims[d] = self.ids[near].tolist(), cosine.tolist()
+        if not len(doc):
+            return scores, ids, sims
+        weight = (1 + np.log(times)) * self.vocabulary.idf[term]
+        weight /= np.sqrt(np.bincount(doc, weight * weight, minlength=n))[doc]
+        cut = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)]
+        step, mean = max(1, CELLS // self.index.examples), float(self.share.mean())
+        for a in range(0, len(cut) - 1, step):
+            off = cut[a : a + step + 1]
+            at, near, cosine = self.index.nearest(off - off[0], term[off[0] : off[-1]], weight[off[0] : off[-1]], self.k)
+            vote, rows = self.share[near] * cosine * cosine, doc[off[:-1]]
+            yes, all_ = np.bincount(at, vote * self.label[near], minlength=len(rows)), np.bincount(at, vote, minlength=len(rows))
+            scores[rows] = (yes + self.smooth * mean * self.prior) / (all_ + self.smooth * mean)
+            edge = np.searchsorted(at, np.arange(len(rows) + 1))
+            names, values = self.ids[near].tolist(), cosine.tolist()
+            for i, d in enumerate(rows.tolist()):
+                ids[d], sims[d] = names[edge[i] : edge[i + 1]], values[edge[i] : edge[i + 1]]
         return scores, ids, sims
 
 
@@ -168,13 +188,14 @@ def _vectors(vocabulary: Vocabulary):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 3000, max_terms: int = 4096, least_z: float = 4.0, k: int = 15,
+    max_examples: int = 3000, least_z: float = 2.0, k: int = 15,
 ) -> Model:
     """Learn from labelled documents.
 
-    The examples are a bounded sample: of each label the ``max_examples`` rows of least hash of id (all, if fewer). Terms
-    are those whose shares among the two labels differ by ``least_z`` standard errors, ``max_terms`` at most. Their
-    inverse document frequencies come from all of ``docs``. Null labels don't count, other numbers than 0 count as 1, of
+    The examples are a bounded sample: of each label the ``max_examples`` rows of least hash of id (all, if fewer). A term
+    weighs its inverse document frequency, which comes from all of ``docs``, times the number z of standard errors by which its
+    shares among the two labels differ; there is no cap on terms, and those with z below ``least_z``, by which labels can't be
+    told apart, weigh nothing. Null labels don't count, other numbers than 0 count as 1, of
     repeated labels the largest counts; labels without a document are left out, and
     examples with equal texts are one. With one label or none scores are priors.
     """
@@ -196,12 +217,13 @@ def fit(
     counts = sample.mapInArrow(_class_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
     p = (F.col("a") + F.col("b")) / F.lit(n1 + n0)
     z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p + 1e-9) * F.lit(1 / n1 + 1 / n0))
-    terms = counts.withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()
-    vocabulary = Vocabulary(np.sort(np.array([r.term for r in terms], np.int64).view(np.uint64)))
+    terms = counts.select("term", z.alias("z")).filter(F.col("z") >= least_z).toArrow()  # of the bounded sample
+    by = np.argsort(terms.column("term").to_numpy().view(np.uint64))
+    vocabulary = Vocabulary(terms.column("term").to_numpy().view(np.uint64)[by])
     df = np.zeros(len(terms) + 1)
     for r in docs.mapInArrow(_document_frequency(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r.term] = r.n
-    vocabulary.idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    vocabulary.idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * terms.column("z").to_numpy()[by]
     rows = sorted(sample.mapInArrow(_vectors(vocabulary), "id long, label int, term array<long>, times array<long>").collect())
     ids, label = np.array([r.id for r in rows]), np.array([r.label for r in rows])
     example = np.repeat(np.arange(len(rows)), [len(r.term) for r in rows])
@@ -218,7 +240,9 @@ def fit(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, evidence, carry if asked for): 0 to 1, and the labelled examples that voted. Needs no shuffle; the model is bounded by its sample.
 
-    Texts with none of the model's terms, null and empty ones too, get the share of such texts that are labelled 1.
+    Texts with none of the model's terms, null and empty ones too, get the share of such texts that are labelled 1. Texts
+    are scored whole, however long; of equal cosines the example of the smaller id votes; repeated rows get equal scores;
+    an empty table gives no rows; other columns, clashing names too, are left behind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
