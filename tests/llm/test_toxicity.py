@@ -91,7 +91,7 @@ def test_held_out_on_generated_documents(spark):
             assert abs(np.mean([x for x, _ in some]) - np.mean([y for _, y in some])) < 0.15
 
 
-def brute_scores(docs, labels, k=15, least_z=2.0):
+def brute_scores(docs, labels, k=15, least_z=3.0):
     """Dense vectors of every term and a full scan; only what a term and a hash are is taken from the operator."""
     doc, h = T.features(pa.array([t for _, t in docs]))
     counts = [{} for _ in docs]

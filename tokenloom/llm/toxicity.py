@@ -136,9 +136,13 @@ class Model:
         weight = (1 + np.log(times)) * self.vocabulary.idf[term]
         weight /= np.sqrt(np.bincount(doc, weight * weight, minlength=n))[doc]
         cut = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)]
-        step, mean = max(1, CELLS // self.index.examples), float(self.share.mean())
-        for a in range(0, len(cut) - 1, step):
-            off = cut[a : a + step + 1]
+        mean = float(self.share.mean())
+        # a document takes a cell for each example and one for each entry of its terms' lists; one at least goes at a time
+        cells = np.add.reduceat(np.diff(self.index.start)[term], cut[:-1]) + self.index.examples
+        turn = np.cumsum(cells) // CELLS
+        edges = np.r_[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]), len(cells)]
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            off = cut[a : z + 1]
             at, near, cosine = self.index.nearest(off - off[0], term[off[0] : off[-1]], weight[off[0] : off[-1]], self.k)
             vote, rows = self.share[near] * cosine * cosine, doc[off[:-1]]
             yes, all_ = np.bincount(at, vote * self.label[near], minlength=len(rows)), np.bincount(at, vote, minlength=len(rows))
@@ -188,7 +192,7 @@ def _vectors(vocabulary: Vocabulary):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 3000, least_z: float = 2.0, k: int = 15,
+    max_examples: int = 3000, least_z: float = 3.0, k: int = 15,
 ) -> Model:
     """Learn from labelled documents.
 
