@@ -83,7 +83,15 @@ def test_held_out_on_generated_documents(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.9
     clean = [r for r in rows if not labels[r.doc_id]]
     assert sum(r.predicted for r in clean) / len(clean) < 0.02
-    # calibration: the mean square error of held-out scores, and in each tenth that has rows enough, means of scores and labels
+
+
+def test_calibration_on_held_out_documents(spark):
+    """On sf0.1, as sf0.01 has six held-out toxic documents, too few to calibrate on."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in T.query(spark, sf).filter("held_out").collect() if r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.99
+    # the mean square error, and in each tenth that has rows enough the means of scores and labels
     assert np.mean([(r.score - labels[r.doc_id]) ** 2 for r in held]) < 0.02
     for t in range(10):
         some = [(r.score, labels[r.doc_id]) for r in held if min(int(r.score * 10), 9) == t]
