@@ -192,7 +192,7 @@ def _vectors(vocabulary: Vocabulary):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 3000, least_z: float = 3.0, k: int = 15,
+    max_examples: int = 3000, least_z: float = 3.0, k: int = 5,
 ) -> Model:
     """Learn from labelled documents.
 
