@@ -21,8 +21,23 @@ BLOCK_BYTES = 8 << 20
 SCAN_BLOCKS = 8
 
 
+def distinct(sequence: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number from 0 up, without gaps, for each run of words, equal for equal runs: the rank of the first words with the next one, word by word."""
+    code, done = np.zeros(len(begin), np.int64), 0
+    size = int(sequence.max(initial=0)) + 1
+    for k in range(int(length.max(initial=0))):
+        go = length > k
+        code[go] = np.unique(code[go] * size + sequence[begin[go] + k], return_inverse=True)[1]
+    out = np.empty(len(begin), np.int64)
+    for n in np.unique(length).tolist():  # runs of another length are others
+        some = length == n
+        out[some] = code[some] + done
+        done += int(code[some].max()) + 1
+    return np.unique(out, return_inverse=True)[1]
+
+
 class Phrases:
-    """The windows of one block of benchmark items, as places in the items' words; words have numbers from 1 up.
+    """The distinct windows of one block of benchmark items, as places in the items' words; words have numbers from 1 up.
 
     All of it is a few arrays, together about four times the block's text.
     """
@@ -38,10 +53,15 @@ class Phrases:
         self.sequence = coded.indices.to_numpy().astype(np.int32) + 1
         words = np.diff(first)
         n = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
-        self.start = (np.arange(int(n.sum())) + np.repeat(first[:-1] - np.cumsum(n) + n, n)).astype(np.int32)
-        self.length = np.repeat(np.minimum(words, window), n).astype(np.int32)
+        begin = np.arange(int(n.sum())) + np.repeat(first[:-1] - np.cumsum(n) + n, n)
+        length = np.repeat(np.minimum(words, window), n)
         self.items, item = np.unique(np.array(items, object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
-        self.item = np.repeat(item, n).astype(np.int32)
+        same = distinct(self.sequence, begin, length)
+        kept = np.unique(same, return_index=True)[1]
+        self.start, self.length = begin[kept].astype(np.int32), length[kept].astype(np.int32)
+        pair = np.unique(same * max(1, len(self.items)) + np.repeat(item, n))  # each distinct window's items
+        self.item_start = np.searchsorted(pair // max(1, len(self.items)), np.arange(len(kept) + 1))
+        self.item = (pair % max(1, len(self.items))).astype(np.int32)
         joined = np.frombuffer(b"".join(self.words), np.uint8)
         ends = np.cumsum([len(w) for w in self.words])
         hashes = SpanHash(joined)(np.r_[0, ends[:-1]], ends)[1:] if len(self.words) > 1 else np.zeros(0, np.uint64)
@@ -199,8 +219,11 @@ def _scan(blocks: Sequence[Broadcast], shard_bytes: int):
                 word, length, which = shard_hits(block.value, buf, start, end, first, hashes)
                 np.add.at(cover, word, 1)
                 np.add.at(cover, word + length, -1)
-                of = np.searchsorted(first, word, "right") - 1
-                pairs.append(np.unique(of * width + block.value.item[which] + at))
+                once = np.unique((np.searchsorted(first, word, "right") - 1) * max(1, len(block.value.start)) + which)
+                of, which = once // max(1, len(block.value.start)), once % max(1, len(block.value.start))
+                n = block.value.item_start[which + 1] - block.value.item_start[which]
+                item = block.value.item[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.value.item_start[which], n)]
+                pairs.append(np.unique(np.repeat(of, n) * width + item + at))
             hit = np.cumsum(cover)[:-1] > 0
             a, b, span_first = runs(hit, first)
             pair = np.concatenate(pairs)

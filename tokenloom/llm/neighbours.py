@@ -190,8 +190,10 @@ def nearest_neighbours(
 
     Nearest: largest inner product; ties go to the smaller id. The codes and the radius are fitted on the ``sample_rows``
     rows of least hash of id; every row is indexed, in shards of at most about ``shard_rows``, and every query meets every
-    shard. Queries that find fewer than k rows within the radius (or than there are) are compared with all rows. Rows with a null id, with a null or zero vector, with null or non-finite components, or with another length
-    than most, take no part. Rows that repeat an id count as often as they come but are no neighbours of each other.
+    shard (a stated set of queries against all rows, in blocks). Queries that find fewer than k rows within the radius (or
+    than there are) are compared with all rows. Rows with a null id, with a null or zero vector, with null or non-finite
+    components, or with another length than most, take no part; vectors of any length are taken whole, other columns,
+    clashing names too, left behind. Rows that repeat an id are candidates as often as they come, but no neighbours of each other; such an id asks once, with its least vector.
     """
     spark = rows.sparkSession
     rows = pick(rows, id=id_col, vector=vector_col).select(F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
@@ -214,17 +216,14 @@ def nearest_neighbours(
         asks = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
         both = dealt.unionByName(asks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks", "id")
         found = both.mapInArrow(_search(codes, d, k, whole), "query long, near array<struct<less:double,id:bigint>>")
-        # each row that asks gives one row for each shard
-        return found.groupBy("query").agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), (F.count("*") / shards).cast("long").alias("times")
-        )
-
-    queries = rows.filter(is_query(F.col("id")))
-    best, _ = materialize(search(queries, False), "neighbours")
-    is_short = F.size("near") < F.least(F.lit(k), F.col("times") * (F.lit(n) - F.col("times")))
-    short = best.filter(is_short).select(F.col("query").alias("id"))
+        return found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))  # a list from each shard
+
+    queries = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector"), F.count("*").alias("times"))
+    best, _ = materialize(search(queries.drop("times"), False), "neighbours")
+    few = best.filter(F.size("near") < k).join(queries, F.col("query") == F.col("id"))
+    short = few.filter(F.size("near") < F.lit(n) - F.col("times")).select("id", "vector")
     if not short.isEmpty():
-        best = best.filter(~is_short).unionByName(search(queries.join(short, "id", "left_semi"), True))
+        best = best.join(short, F.col("query") == F.col("id"), "left_anti").unionByName(search(short, True))
     flat = best.select("query", F.posexplode("near").alias("at", "n"))
     return flat.select("query", (F.col("at") + 1).alias("rank"), F.col("n.id").alias("id"), (-F.col("n.less")).alias("score"))
 

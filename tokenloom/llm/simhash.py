@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, pieces, runs, utf8
-from ._spark import materialize, pick, spread
+from ._spark import materialize, pick
 from .components import components
 
 SPACE = np.zeros(256, bool)
@@ -139,6 +139,8 @@ def group_links(key: np.ndarray, fps: np.ndarray, radius: int, small: int = 16,
 
 
 FAMILY = triples()
+#: Rows of the index that a task takes, about.
+TASK_ROWS = 4_000_000
 
 
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
@@ -164,17 +166,20 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[a[i : i + 100_000]]), pa.array(node[b[i : i + 100_000]])], ["a", "b"])
 
     index = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
-    return spread(index, "key").mapInArrow(run, "a long, b long")
+    # a partition is held whole: as many as keep each at about TASK_ROWS rows of the index
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * len(FAMILY) // TASK_ROWS))
+    return index.repartition(parts, "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp, component): the fingerprint of each document and the least id that it reaches over links of 4 bits or fewer.
 
     Equal fingerprints are one node of the graph (copies are never paired). Repeated rows give repeated rows. Rows with a
-    null id get a fingerprint and, if no other row shares it, a null component. An empty table gives no rows.
+    null id get a fingerprint and, if no other row shares it, a null component. An empty table gives no rows; other columns,
+    clashing names too, are left behind. Very long texts are hashed whole. There are no ties but among ids, of which the least counts.
     """
     rows, _ = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("node"))
+    nodes, _ = materialize(rows.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     found = components(links(nodes.filter("node is not null")))
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return rows.join(labels, "fp").select("id", "fp", "component")
