@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): 64-bit SimHash of each whole text; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 1 << 20):
             found = batch_fingerprints(piece.column("text"), shingle, seed)
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 

@@ -357,7 +357,7 @@ def _compare_strings(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, piece_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, piece_bytes: int = 1 << 20) -> DataFrame:
     """docs (doc, text) -> (doc, lo, hi): spans of bytes, overlapping ones too, whose union is what starts earlier as well."""
     if not GRAM + 8 <= width <= 255:
         raise ValueError("strings of 32 to 255 bytes")

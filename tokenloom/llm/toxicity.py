@@ -18,7 +18,7 @@ PREFIXES = (4, 5, 6)
 BLOCK = 64
 FIRST_BLOCKS = 16
 #: Cosines held at once by a task.
-CELLS = 1 << 20
+CELLS = 1 << 19
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
