@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on from task to task and beside others in one executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most so many bytes of text, or a single row."""
+    """Slices of the batches with at most so many bytes of text, or a single row; memory is given back at the end."""
     for batch in batches:
         _, off = utf8(batch.column(text))
         row = 0
@@ -37,6 +46,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             end = max(row + 1, int(np.searchsorted(off, off[row] + most, "right")) - 1)
             yield batch.slice(row, end - row)
             row = end
+    give_back()
 
 
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

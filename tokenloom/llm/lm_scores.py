@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, SpanHash, mix, pieces, runs, utf8
+from ._bytes import LOWER, SpanHash, give_back, mix, pieces, runs, utf8
 from ._spark import materialize, materialize_by, pick, remove
 from .simhash import SPACE
 
@@ -122,6 +122,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+    give_back()
 
 
 def _by_part(part: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

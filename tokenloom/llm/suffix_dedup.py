@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import SpanHash, mix, pieces, table, utf8
+from ._bytes import SpanHash, give_back, mix, pieces, table, utf8
 from ._spark import carried, carry_columns, materialize, pick_carry, spread
 from .deepshallow import deep_shallow
 
@@ -203,6 +203,8 @@ def _compare_anchors(counters: int, frequent: np.ndarray):
             for i in range(0, len(d), 100_000):
                 s = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(d[s]), pa.int64()) if k is None else pa.array(k[s]), pa.array(d[s]), pa.array(a[s]), pa.array(b[s])], ["key", "doc", "lo", "hi"])
+        del got, spans, out, key, around, doc, packed, dealt, order, head, place, left, right
+        give_back()
 
     return run
 
@@ -353,6 +355,8 @@ def _compare_strings(width: int):
                 batch = batch.slice(cut)
         if held:
             yield solve(pa.Table.from_batches(held))
+            held = []
+        give_back()
 
     return run
 
