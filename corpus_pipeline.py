@@ -34,11 +34,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are near-duplicates of each other.
     """
     numbered, _ = materialize(pick(docs, **{c: c for c in COLUMNS}).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = simhash.near_duplicates(numbered, id_col="row").select(F.col("id").alias("row"), "component")
-    groups = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
-    members = numbered.select("row", "doc_id").join(found.join(groups.select("component"), "component"), "row")
-    members, _ = materialize(members, "groups")
+    found, _ = materialize(simhash.near_duplicates(numbered, id_col="row").select(F.col("id").alias("row"), "component"), "components")
+    groups, _ = materialize(found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "groups")
+    members, _ = materialize(numbered.select("row", "doc_id").join(found.join(groups, "component"), "row"), "members")
+    # tables of their own, so that joins on a group that holds much of the corpus can be split
     first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept"))
+    first, _ = materialize(first, "first")
     others = members.join(first, "component").filter("row <> kept.row").select("row")
     return numbered.join(others, "row", "left_anti").select(COLUMNS)
 
