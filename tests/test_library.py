@@ -90,6 +90,24 @@ def test_sequences(spark, patterns, words, want):
     assert [r.sent_id for r in sequence.contains(df, p).collect()] == ([1] if want else [])
 
 
+def test_sequences_move_nothing_and_agree_with_the_join(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [*"abcd", "", None]
+    patterns = [[rng.choice(words) for _ in range(rng.randint(1, 4))] for _ in range(60)]
+    p = spark.createDataFrame([(i, f"p{i}", x) for i, x in enumerate([*patterns, patterns[0]])], PATTERN)
+    rows = [(i, "", [tok(rng.choice("abcd")) for _ in range(rng.choice((0, 1, 2, 30)))]) for i in range(200)]
+    df = sents(spark, rows).unionByName(sents(spark, [(900, "", None), (901, "", [(None, "", "X", "", "dep", 0)] * 5)]))
+    monkeypatch.setattr(sequence, "AT_ONCE", 40)
+    found = sequence.find_all(df, p)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan  # n-grams stay where their sentences are
+    monkeypatch.setattr(sequence, "SENT_BYTES", 0)
+    joined = sequence.find_all(df, p)
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString() and found.dtypes == joined.dtypes
+    got = sorted(map(repr, found.collect()))
+    assert got == sorted(map(repr, joined.collect())) and len(got) > 1000
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))
