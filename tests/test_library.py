@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from tokenloom.functions.text import normal
 from tokenloom.operators import dependency, sequence, trees
@@ -126,6 +127,31 @@ def test_trees_and_cycles(spark):
     assert [(r.node, r.matched_label) for r in found if r.sent_id == 1] == [(2, "a"), (2, "b"), (2, "e"), (1, "d")]
 
 
+def test_paths_come_with_the_tree(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for s in range(150):
+        n = rng.choice((1, 2, 5, 12))
+        rows.append((s, "", [tok("t", lemma=f"w{i}", dep=rng.choice(["x", "y", "root"]), head=rng.randint(-1, n)) for i in range(n)]))
+    rows += [(900, "", [tok("t", dep="root" if i == 0 else "x", head=i or 300) for i in range(300)]), (901, "", []), (902, "", None)]
+    df = sents(spark, rows)
+    whole = trees.build(df, dotted=True)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    want = trees.paths(trees.build(df)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "."))
+    got = sorted(map(repr, whole.collect()))
+    assert got == sorted(map(repr, want.select(whole.columns).collect())) and len(got) > 500
+    cycle = whole.filter("sent_id = 900").orderBy("pre").collect()
+    assert len(cycle) == 301 and cycle[-1].terminal and cycle[-1].path == ".".join(map(str, [*range(1, 301), 1]))
+    # level by level, by sentence and in small pieces alike
+    values = [(s, [t[5] for t in ts], [t[3] for t in ts], [t[4] for t in ts]) for s, _, ts in rows if ts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*values, strict=True)], ("sent_id", "heads", "lemmas", "deps"))
+    for levels, at_once in ((1, 10), (3, 10_000), (1000, 10_000)):
+        monkeypatch.setattr(trees, "LEVELS", levels)
+        monkeypatch.setattr(trees, "AT_ONCE", at_once)
+        again = sorted(repr(tuple(r.values())) for b in trees._build(iter([batch]), dotted=True) for r in b.to_pylist())
+        assert again == sorted(repr(tuple(r)) for r in whole.collect())
+
+
 def brute_trees(heads, deps, lemmas):
     first = next((i for i, (h, d) in enumerate(zip(heads, deps), 1) if d == "root" or h == i), None)
     if first is None:

@@ -144,7 +144,7 @@ def tree_roots(spark, d):
 
 
 def tree_edges(spark, d):
-    return trees.paths(_nodes(spark, d)).select("sent_id", "node", "parent", "dep", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "terminal")
+    return trees.build(_a(spark, d), dotted=True).select("sent_id", "node", "parent", "dep", "depth", "path", "terminal")
 
 
 def tree_depths(spark, d):
