@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -109,6 +110,21 @@ def test_sequences_move_nothing_and_agree_with_the_join(spark, monkeypatch):
     assert got == sorted(map(repr, joined.collect())) and len(got) > 1000
 
 
+def test_empty_patterns_move_nothing_and_agree_with_the_join(spark, monkeypatch):
+    rng = random.Random(4)
+    patterns = [[], *([rng.choice("abcd") for _ in range(rng.randint(1, 3))] for _ in range(4)), []]
+    p = spark.createDataFrame([(i, f"p{i}", x) for i, x in enumerate(patterns)], PATTERN)
+    df = sents(spark, [(i, "", [tok(rng.choice("abcdefgh")) for _ in range(rng.choice((0, 1, 2, 30)))]) for i in range(200)])
+    for some in (p, p.filter("size(pattern) = 0"), p.filter("size(pattern) > 0")):
+        monkeypatch.setattr(sequence, "AT_ONCE", 40)
+        found = sequence.find_all_with_empty(df, some)
+        assert not {"Join", "Aggregate"} & set(re.findall("Join|Aggregate", found._jdf.queryExecution().optimizedPlan().toString()))
+        monkeypatch.setattr(sequence, "SENT_BYTES", -1)
+        joined = sequence.find_all_with_empty(df, some)
+        monkeypatch.undo()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, joined.collect())) and found.dtypes == joined.dtypes
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))

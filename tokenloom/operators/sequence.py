@@ -152,6 +152,8 @@ def find_all_with_empty(sentences: DataFrame, patterns: DataFrame, key: str = "t
     """find_all() where empty patterns are allowed, as an automaton has them: one occurs, with no length, after each token
     with which no prefix of any other pattern ends, for there the automaton is back at its root.
     """
+    if _is_small(patterns):
+        return _by_trie(sentences, patterns, key, id_col)
     real = patterns.filter(F.size("pattern") > 0)
     found = find_all(sentences, real, key, id_col)
     prefixes = real.select(F.explode(F.sequence(F.lit(1), F.size("pattern"))).alias("_n"), "pattern").select(F.slice("pattern", 1, F.col("_n")).alias("pattern")).distinct()
