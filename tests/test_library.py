@@ -125,6 +125,13 @@ def test_empty_patterns_move_nothing_and_agree_with_the_join(spark, monkeypatch)
         assert sorted(map(repr, found.collect())) == sorted(map(repr, joined.collect())) and found.dtypes == joined.dtypes
 
 
+def test_lemma_match_moves_nothing(spark):
+    from tokenloom import queries
+
+    plan = queries.queries()["lemma_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))
