@@ -132,6 +132,13 @@ def test_lemma_match_moves_nothing(spark):
     assert "MapInArrow" in plan and "Join" not in plan
 
 
+def test_text_match_moves_nothing(spark):
+    from tokenloom import queries
+
+    plan = queries.queries()["text_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))
