@@ -147,3 +147,13 @@ def test_copies_of_an_article_stay_whole(spark):
     rows += [(100 + i, f"http://five.com/{i}", page(words[i % 5]).replace("article", "main"), words[i % 5]) for i in range(60)]
     df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
     assert {r.id: r.text for r in H.extract(df).collect()} == {r[0]: f"Title {r[3]} The words of {r[3]}. More." for r in rows}
+
+
+def test_the_tree_decides_inside_articles(spark):
+    """What all of a site's articles repeat in a place of its own goes, whether or not an article element is around it."""
+    rows = [(i, f"http://h.com/{i}", f"<body><div class=n>Same on all</div><ARTICLE><h1>{body[:20]}</h1><div class=u><p>Subscribe to our letter</p></div><p>{body}</p></ARTICLE>", f"{body[:20]} {body}") for i, _, _, body in pages()]
+    for i, tag in enumerate(("article", "main", "div")):
+        df = spark.createDataFrame([(k, f"{u}?{i}", h.replace("ARTICLE", tag)) for k, u, h, _ in rows], "page_id long, url string, html string").repartition(3)
+        assert {r.id: r.text for r in H.extract(df).collect()} == {r[0]: r[3] for r in rows}
+    few = spark.createDataFrame([(k, u, h.replace("ARTICLE", "article")) for k, u, h, _ in rows[:3]], "page_id long, url string, html string")
+    assert all("Subscribe" in r.text for r in H.extract(few).collect())  # three captures say too little against an article

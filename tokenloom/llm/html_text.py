@@ -3,7 +3,8 @@
 Every element goes into the tree, under the names (tag and class) from the root down. What a node's text is worth is 1 less the
 entropy of its contents over the pages: text that many pages repeat tells nothing about any of them. Names are never
 asked whether they look like adverts or menus. Priors that no tree can replace are few and stated: elements and roles that
-HTML defines as no main text, an article or main element, and reader comments, which differ from page to page.
+HTML defines as no main text, an article or main element, and reader comments, which differ from page to page. The tree is asked
+inside an article, too.
 """
 
 from __future__ import annotations
@@ -279,27 +280,33 @@ def importance(pages: DataFrame, gamma: float = 0.9, smooth: float = 10.0) -> Da
     return found.select("host", "node", "m", ((1 - weight) * style + weight * (1 - shared)).alias("importance"))
 
 
-def low_branches(pages: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(host, low array<node>): nodes of low importance; they are of the host's templates, as a node on one page alone has importance 1."""
-    return importance(pages).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("node").alias("low"))
+def low_branches(pages: DataFrame, threshold: float = 0.8, prior: float = 40.0) -> DataFrame:
+    """(host, low array<node>, firm array<node>): nodes of low importance; they are of the host's templates, as a node on one page alone has importance 1.
+
+    Firm are those of them that stay low if an article or main element is counted as ``prior`` captures of importance 1.
+    """
+    firm = (F.col("m") * F.col("importance") + prior) / (F.col("m") + prior) < threshold
+    found = importance(pages).filter(F.col("importance") < threshold)
+    return found.groupBy("host").agg(F.collect_list("node").alias("low"), F.collect_list(F.when(firm, F.col("node"))).alias("firm"))
 
 
-def main_text(html: str, low: set[int]) -> str:
-    """The blocks that are left: none against which a prior holds, and none in a node of low importance; so a branch goes where all its nodes are low.
+def main_text(html: str, low: set[int], firm: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks that are left: none in a node of low importance, so a branch goes where all its nodes are low, and none against which a prior holds.
 
-    An article or main element is a prior, too: where a page marks one, all of it and only what is in it.
+    An article or main element is a prior, too: where a page marks one, only what is in it; the tree decides there as well,
+    but needs more captures to speak against it (``firm``).
     """
     _, blocks = parse(html)
     blocks = [(node, text) for node, text in blocks if not node.noise]
-    if any(node.inside for node, _ in blocks):
-        return " ".join(text for node, text in blocks if node.inside)
-    return " ".join(text for node, text in blocks if _signed(node.key) not in low)
+    marked = any(node.inside for node, _ in blocks)
+    out = firm if marked else low
+    return " ".join(text for node, text in blocks if node.inside >= marked and _signed(node.key) not in out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "html", 8 << 20):
-        lows = [set(x or ()) for x in piece.column("low").to_pylist()]
-        texts = [main_text(h or "", low) for h, low in zip(piece.column("html").to_pylist(), lows, strict=True)]
+        lows, firms = ([set(x or ()) for x in piece.column(c).to_pylist()] for c in ("low", "firm"))
+        texts = [main_text(h or "", *x) for h, *x in zip(piece.column("html").to_pylist(), lows, firms, strict=True)]
         yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
@@ -313,7 +320,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages = pick(pages, id=id_col, url=url_col, html=html_col).withColumn("id", F.col("id").cast("long"))
     pages = pages.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit("")))
     low, _ = materialize(low_branches(pages.select("host", "html")), "low")
-    joined = pages.join(low, "host", "left").select("id", "url", "html", "low")
+    joined = pages.join(low, "host", "left").select("id", "url", "html", "low", "firm")
     return joined.mapInArrow(_extract, "id long, url string, text string")
 
 
