@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenloom.functions.text import normal
 from tokenloom.operators import dependency, sequence, trees
@@ -139,6 +140,33 @@ def test_text_match_moves_nothing(spark):
     assert "MapInArrow" in plan and "Join" not in plan
 
 
+def whole_and_unmoved(spark, folder, name):
+    """The query over many files with odd texts: no exchange in the plan that ran, and the rows of its SQL."""
+    import duckdb
+    from tokenloom import queries
+
+    texts = ["Of the in the IN THE Of the.\n\n\nof\nthe end", None, "", "\n", "of  the\tof the éof THE the the", "the " * 3000, "…of—the… 12 the34 \U0001f600 the\r\nof the", "de la der die. the."]
+    (folder / "documents.parquet").mkdir()
+    for i, text in enumerate(texts):
+        columns = {"doc_id": pa.array([i], pa.int64()), "text": pa.array([text], pa.string()), "lang": pa.array(["en"])}
+        pq.write_table(pa.table(columns), folder / f"documents.parquet/{i}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with patterns of unknown size, whose join deals n-grams out
+    try:
+        found = queries.queries()[name](spark, str(folder))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).fetchall()
+    assert got == sorted(want) and len(want) > 6000
+
+
+def test_lemma_match_is_whole_without_an_exchange(spark, tmp_path):
+    whole_and_unmoved(spark, tmp_path, "lemma_match")
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))
