@@ -167,6 +167,10 @@ def test_lemma_match_is_whole_without_an_exchange(spark, tmp_path):
     whole_and_unmoved(spark, tmp_path, "lemma_match")
 
 
+def test_text_match_is_whole_without_an_exchange(spark, tmp_path):
+    whole_and_unmoved(spark, tmp_path, "text_match")
+
+
 def test_empty_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         sequence.lengths(spark.createDataFrame([(0, "e", [])], PATTERN))
